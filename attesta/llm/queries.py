@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, cutoffs, skeletons, spellings
+from attesta.llm import bpe, cutoffs, mojibake, skeletons, spellings
 from attesta.sources.tables import table
 
 _FIELDS = {"doi": spellings.canonical_doi, "url": spellings.canonical_url}
@@ -58,8 +58,16 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_classes, p3_normalised, p4_found, p4_shares, p7_ids)
+    f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_classes, p3_normalised, p4_found, p4_shares, p7_ids, p9_found, p9_restored)
 }
 
 ORACLE: dict[str, str] = {}
