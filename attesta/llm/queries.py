@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, cutoffs, mojibake, skeletons, spellings
+from attesta.llm import bpe, cutoffs, mixing, mojibake, skeletons, spellings, survivors
 from attesta.sources.tables import table
 
 _FIELDS = {"doi": spellings.canonical_doi, "url": spellings.canonical_url}
@@ -58,6 +58,25 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
 
 
+_BUNDLES = (survivors.venue(), survivors.content(), survivors.authors())
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.survivors(table(spark, d, "merge_candidates"), "canonical_id", "cand_id", "fetched_at", _BUNDLES)
+
+
+def p6_records(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.records(table(spark, d, "merge_candidates"), "canonical_id", "cand_id", "fetched_at", _BUNDLES)
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(p8_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored(table(spark, d, "documents")).select("doc_id")
 
@@ -67,7 +86,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_classes, p3_normalised, p4_found, p4_shares, p7_ids, p9_found, p9_restored)
+    f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_classes, p3_normalised, p4_found, p4_shares, p6_found, p6_records, p7_ids, p8_mix, p8_shares, p9_found, p9_restored)
 }
 
 ORACLE: dict[str, str] = {}
