@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, cutoffs, mixing, mojibake, skeletons, spellings, survivors
+from attesta.llm import bpe, cutoffs, mixing, mojibake, names, skeletons, spellings, survivors
 from attesta.sources.tables import table
 
 _FIELDS = {"doi": spellings.canonical_doi, "url": spellings.canonical_url}
@@ -21,6 +21,13 @@ def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return spellings.collapse(table(spark, d, "academic_sources"), "rec_id", _FIELDS)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    persons = table(spark, d, "author_registry").select(F.lit("author").alias("kind"), F.col("author_id").cast("bigint").alias("entity_id"), F.col("full_name").alias("name"))
+    journals = table(spark, d, "journals").select(F.lit("journal").alias("kind"), F.col("journal_id").cast("bigint").alias("entity_id"), F.col("journal_name").alias("name"))
+    said = names.mentions(table(spark, d, "academic_sources"), table(spark, d, "profiles"))
+    return names.link(said, persons.unionByName(journals)).where(~F.col("exact")).select("kind", "row_id", "slot", "entity_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     a = skeletons.prints(table(spark, d, "academic_sources"), "rec_id", ["content"])
     e = skeletons.prints(table(spark, d, "evidence_items"), "item_id", ["evidence", "claim"])
@@ -86,7 +93,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_classes, p3_normalised, p4_found, p4_shares, p6_found, p6_records, p7_ids, p8_mix, p8_shares, p9_found, p9_restored)
+    f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p3_found, p3_classes, p3_normalised, p4_found, p4_shares, p6_found, p6_records, p7_ids, p8_mix, p8_shares, p9_found, p9_restored)
 }
 
 ORACLE: dict[str, str] = {}
