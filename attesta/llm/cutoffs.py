@@ -19,6 +19,7 @@ import uuid
 from pyspark.sql import DataFrame
 
 from attesta.llm.skeletons import LOOK_ALIKE
+from attesta.operators.durable import durable
 
 # Abbreviations that end in a dot without ending a sentence.
 ABBREVIATIONS = ("e.g.", "i.e.", "cf.", "vs.", "fig.", "figs.", "eq.", "eqs.", "ref.", "refs.", "approx.", "no.", "z.b.", "d.h.", "p.ej.", "resp.")
@@ -54,55 +55,61 @@ def _sql(text: str, **frames: DataFrame) -> DataFrame:
             spark.catalog.dropTempView(view)
 
 
-_TOKENS = f"""
-SELECT part, rid, source, txt,
-       split(regexp_replace(txt, '[0-9]+', '9'), ' ') AS w
+#: An ending is judged by so many last characters of its text: its final words, marks and closing line. Counts use whole texts.
+TAIL = 1000
+
+# What the end of a text says by itself: 1 (cut), 0 (complete), 2 (it has no mark), 3 (no visible character).
+_ENDS = f"""
+SELECT part, rid, source, said, xxhash64(get(w, size(w) - 3), get(w, size(w) - 2), w[size(w) - 1]) AS g, t
 FROM (
-  SELECT part, rid, source,
-         trim(regexp_replace(lower(translate(regexp_replace(body, '{_UNSEEN}', ''), {_quoted(_FROM)}, {_quoted(_TO)})), '{_SPACES}', ' ')) AS txt
-  FROM {{texts}}
+  SELECT part, rid, source, t, split(regexp_replace(txt, '[0-9]+', '9'), ' ') AS w,
+    CASE
+      WHEN coalesce(txt, '') = '' THEN 3
+      WHEN txt RLIKE '(…|\\\\.\\\\.+|\\\\[\\\\.*\\\\]|\\\\(\\\\.*\\\\)|[�(\\\\[{{,;:<«„“-])$' THEN 1
+      WHEN txt RLIKE '(keywords?: ?[^.!?]*|[a-z]{{2,}}-[0-9]{{3,}}|https?://[^ ]+|\\\\([^()]*\\\\)|\\\\[[^\\\\[\\\\]]*\\\\])$' THEN 0
+      WHEN substring_index(txt, ' ', -1) IN ({", ".join(_quoted(x) for x in ABBREVIATIONS)}) THEN 1
+      WHEN txt RLIKE '[.!?。！？][\\\\])"”»’\\']*$' THEN 0
+      WHEN txt RLIKE '[”"»]$' THEN 0
+      ELSE 2
+    END AS said
+  FROM (
+    SELECT part, rid, source, xxhash64(body) AS t,
+           trim(regexp_replace(lower(translate(regexp_replace(right(body, {TAIL}), '{_UNSEEN}', ''), {_quoted(_FROM)}, {_quoted(_TO)})), '{_SPACES}', ' ')) AS txt
+    FROM (SELECT part, rid, source, rtrim(regexp_replace(body, '{_SPACES}$', '')) AS body FROM {{texts}})
+  )
 )
-WHERE txt <> ''
 """
 
-_GRAMS = """
-WITH grams AS (
-  SELECT explode(transform(sequence(1, size(w)), i -> struct(
-           xxhash64(get(w, i - 3), get(w, i - 2), w[i - 1]) AS g, i = size(w) AS last, xxhash64(w) AS t))) AS x
-  FROM {tokens}
+# How often each trigram stands inside texts; the last one of a text is left out.
+_INSIDE = """
+SELECT g, count(*) AS inside
+FROM (
+  SELECT explode(CASE WHEN size(w) > 3 THEN transform(sequence(1, size(w) - 3), i -> xxhash64(w[i - 1], w[i], w[i + 1])) END) AS g
+  FROM (SELECT split(regexp_replace(lower(body), '[0-9]+', '9'), ' ') AS w FROM {texts})
 )
-SELECT x.g AS g, count_if(NOT x.last) AS inside, approx_count_distinct(CASE WHEN x.last THEN x.t END) AS ends
-FROM grams GROUP BY x.g
-HAVING count_if(x.last) > 0
+GROUP BY g
 """
 
-_VERDICT = """
-SELECT t.part, t.rid, t.source,
-  CASE
-    WHEN txt RLIKE '(…|\\\\.\\\\.+|\\\\[\\\\.*\\\\]|\\\\(\\\\.*\\\\)|[\ufffd(\\\\[{,;:<«„“-])$' THEN true
-    WHEN txt RLIKE '(keywords?: ?[^.!?]*|[a-z]{2,}-[0-9]{3,}|https?://[^ ]+|\\\\([^()]*\\\\)|\\\\[[^\\\\[\\\\]]*\\\\])$' THEN false
-    WHEN element_at(w, -1) IN ({abbreviations}) THEN true
-    WHEN txt RLIKE '[.!?。！？][\\\\])"”»’\\']*$' THEN false
-    WHEN txt RLIKE '[”"»]$' THEN false
-    ELSE NOT (coalesce(ends, 0) >= {least} AND coalesce(ends, 0) >= {share} * (coalesce(ends, 0) + coalesce(inside, 0)))
-  END AS cut,
-  coalesce(inside, 0) AS inside, coalesce(ends, 0) AS ends
-FROM (SELECT *, xxhash64(get(w, size(w) - 3), get(w, size(w) - 2), w[size(w) - 1]) AS g FROM {tokens}) t
-LEFT JOIN {grams} c ON t.g = c.g
+_OPEN = "SELECT g, count(DISTINCT t) AS ends FROM {ends} WHERE said = 2 GROUP BY g"
+
+_VERDICT = f"""
+SELECT part, rid, source, said = 1 AS cut, CAST(NULL AS bigint) AS inside, CAST(NULL AS bigint) AS ends FROM {{ends}} WHERE said < 2
+UNION ALL
+SELECT part, rid, source, NOT (c.ends >= {LEAST_ENDS} AND c.ends >= {END_SHARE} * (c.ends + coalesce(i.inside, 0))) AS cut, coalesce(i.inside, 0) AS inside, c.ends
+FROM (SELECT * FROM {{ends}} WHERE said = 2) e
+JOIN {{open}} c ON e.g = c.g
+LEFT JOIN {{inside}} i ON e.g = i.g
 """
 
 
 def verdicts(texts: DataFrame) -> DataFrame:
     """``(part, rid, source, cut, inside, ends)`` for each text that has a visible character.
 
-    ``texts`` has ``(part, rid, source, body)``; ``inside`` and ``ends`` say how often the final trigram occurs inside
-    texts and in how many distinct texts at the end (estimated).
+    ``texts`` has ``(part, rid, source, body)``; for an ending without a mark ``inside`` and ``ends`` say how often its
+    trigram occurs inside texts and in how many distinct texts at the end.
     """
-    tokens = _sql(_TOKENS, texts=texts)
-    grams = _sql(_GRAMS, tokens=tokens)
-    listed = ", ".join(_quoted(a) for a in ABBREVIATIONS)
-    sql = _VERDICT.replace("{abbreviations}", listed).replace("{least}", str(LEAST_ENDS)).replace("{share}", str(END_SHARE))
-    return _sql(sql, tokens=tokens, grams=grams)
+    ends = durable(_sql(_ENDS, texts=texts))
+    return _sql(_VERDICT, ends=ends, open=_sql(_OPEN, ends=ends), inside=_sql(_INSIDE, texts=texts))
 
 
 def shares(v: DataFrame) -> DataFrame:

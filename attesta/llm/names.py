@@ -35,7 +35,7 @@ from attesta.operators.durable import durable
 from attesta.operators.skew import hot_keys, salted_lookup
 
 #: Candidates are kept down to this cosine; the nearest TOP_N and all that tie with the last of them.
-THRESHOLD = 0.25
+THRESHOLD = {"author": 0.3, "journal": 0.25}
 TOP_N = 24
 #: Mean similarity to its group that a spelling needs to stay.
 LINKAGE = 0.15
@@ -76,16 +76,22 @@ SMALL_WORDS = {"of", "on", "in", "the", "for", "and", "a", "an", "&"}
 
 def fold(s: str) -> str:
     """Lower case without accents; letters that have no accent of their own by their usual spelling."""
+    if s.isascii():
+        return s.lower()
     s = s.translate({0xF8: "o", 0xD8: "o", 0x142: "l", 0x141: "l", 0xDF: "ss", 0x131: "i", 0xE6: "ae", 0xC6: "ae", 0x111: "d", 0x110: "d", 0x2019: "'"})
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower()
 
 
+_REMARKS = re.compile(r"\([^)]*\)|\[[^\]]*\]|[*†‡§¶0-9]")
+_DEGREES = re.compile(r"\b(?:ph\.?\s?d|m\.\s?d|m\.?sc|b\.?sc|d\.?phil)\b\.?")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
 def person_form(name: str) -> str:
     """A person's name without titles, degrees, marks and remarks."""
-    s = re.sub(r"\([^)]*\)|\[[^\]]*\]|[*†‡§¶0-9]", " ", name)
-    s = fold(s)
-    s = re.sub(r"\b(?:ph\.?\s?d|m\.\s?d|m\.?sc|b\.?sc|d\.?phil)\b\.?", " ", s)
-    return re.sub(r"\s+", " ", s).strip(" ,;")
+    s = fold(_REMARKS.sub(" ", name))
+    s = _DEGREES.sub(" ", s)
+    return " ".join(s.split()).strip(" ,;")
 
 
 _EDITIONS = re.compile(r"\((?:online|print|electronic|internet)[^)]*\)|\[[^\]]*edition\]|\s-\s*(?:elect|electronic|online|print)\.?\s*(?:ed|edition)?\.?\s*$", re.I)
@@ -97,7 +103,7 @@ def journal_form(name: str) -> str:
 
 def grams(form: str, n: int = 3) -> Counter:
     out: Counter = Counter()
-    for w in re.findall(r"[^\W\d_]+", form):
+    for w in _WORD.findall(form):
         w = f"^{w}$"
         for i in range(max(1, len(w) - n + 1)):
             out[w[i : i + n]] += 1
@@ -108,7 +114,7 @@ def distance(a: str, b: str, most: int) -> int:
     """Edits (insert, delete, replace, swap of neighbours) between two words; ``most + 1`` if there are more."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
         return most + 1
     i = 0
     while i < min(len(a), len(b)) and a[i] == b[i]:
@@ -168,44 +174,76 @@ def _given(token: str, dotted: bool, p: Person) -> int | None:
     return 2 + d if d <= most and len(token) >= 3 else None
 
 
-def person_cost(spelling: str, p: Person) -> float | None:
-    """How far a spelling is from meaning ``p``; None if it can't mean this person."""
+@dataclass(frozen=True)
+class Said:
+    """A spelling of a person's name taken apart once: its words, and where its comma was."""
+
+    head: tuple[str, ...]
+    tail: str | None
+
+
+def said(spelling: str) -> Said:
     s = person_form(spelling)
     if "," in s:
         head, _, tail = s.partition(",")
-        orders = [(head.strip(), tail.strip())]
-    else:
-        w = [x for x in s.split() if x.strip(".") not in TITLES]
-        k = len(p.surname.split())
-        orders = [(" ".join(w[-k:]), " ".join(w[:-k])), (" ".join(w[:k]), " ".join(w[k:]))] if len(w) > k else []
-    best = None
-    for sur, rest in orders:
-        sur = " ".join(x for x in sur.split() if x.strip(".") not in TITLES)
-        d = distance(sur, p.surname, 2)
-        if d > 2 or (d == 2 and (len(p.surname) < 9 or sur[:3] != p.surname[:3])):
-            continue
-        parts = [(x, x.endswith(".")) for x in re.sub(r"\.", ". ", rest).split() if x.strip(".") not in TITLES]
-        parts = [(x.strip(".,"), dot) for x, dot in parts if x.strip(".,")]
-        if not parts:
-            continue
-        token, dotted = parts[0]
-        middles = "".join(x for x, _ in parts[1:])
-        c = _given(token, dotted, p)
-        if c is None and len(parts) == 1 and len(token) == 2 and token == p.given[:1] + p.middle[:1]:
-            c, middles = 2, p.middle
-        if c is None and len(parts) == 1 and len(token) > 3:
-            c = _given(token[:-1], dotted, p) if token[-1:] == p.middle[:1] else None
-            middles = p.middle if c is not None else middles
-        if c is None and len(parts) == 2 and len(token) == 1 and p.given.startswith(token):
-            c = 2
-        if c is None or any(len(x) > 1 for x, _ in parts[1:]):
-            continue
-        if middles and middles != p.middle or (d == 2 and c > 1):
-            continue
-        cost = d * 3 + c + (0.5 if p.middle and not middles else 0)
-        if best is None or cost < best:
-            best = cost
-    return best
+        words = tuple(x for x in head.split() if x.strip(".") not in TITLES)
+        return Said(words, tail.strip())
+    return Said(tuple(x for x in s.split() if x.strip(".") not in TITLES), None)
+
+
+def _orders(x: Said, k: int) -> list[tuple[str, str]]:
+    """The ways to split a spelling into surname of ``k`` words and rest."""
+    if x.tail is not None:
+        return [(" ".join(x.head), x.tail)]
+    w = x.head
+    return [(" ".join(w[-k:]), " ".join(w[:-k])), (" ".join(w[:k]), " ".join(w[k:]))] if len(w) > k else []
+
+
+def _rest_cost(rest: str, p: Person, d: int) -> float | None:
+    """The cost of reading what is left beside a surname ``d`` edits away as the given name and initials of ``p``."""
+    parts = [(x, x.endswith(".")) for x in rest.replace(".", ". ").split() if x.strip(".") not in TITLES]
+    parts = [(x.strip(".,"), dot) for x, dot in parts if x.strip(".,")]
+    if not parts:
+        return None
+    token, dotted = parts[0]
+    middles = "".join(x for x, _ in parts[1:])
+    c = _given(token, dotted, p)
+    if c is None and len(parts) == 1 and len(token) == 2 and token == p.given[:1] + p.middle[:1]:
+        c, middles = 2, p.middle
+    if c is None and len(parts) == 1 and len(token) > 3 and token[-1:] == p.middle[:1]:
+        c = _given(token[:-1], dotted, p)
+        middles = p.middle
+    if c is None or any(len(x) > 1 for x, _ in parts[1:]) or (middles and middles != p.middle) or (d == 2 and c > 1):
+        return None
+    return d * 3 + c + (0.5 if p.middle and not middles else 0)
+
+
+def person_costs(spelling: str, persons: list[Person]) -> list[float | None]:
+    """How far a spelling is from meaning each of ``persons``; None where it can't mean the person."""
+    x = said(spelling)
+    orders: dict[int, list[tuple[str, str]]] = {}
+    near: dict[tuple[str, str], int] = {}
+    out: list[float | None] = []
+    for p in persons:
+        k = p.surname.count(" ") + 1
+        if k not in orders:
+            orders[k] = _orders(x, k)
+        best = None
+        for sur, rest in orders[k]:
+            d = near.get((sur, p.surname))
+            if d is None:
+                d = near[sur, p.surname] = distance(sur, p.surname, 2)
+            if d > 2 or (d == 2 and (len(p.surname) < 9 or sur[:3] != p.surname[:3])):
+                continue
+            c = _rest_cost(rest, p, d)
+            if c is not None and (best is None or c < best):
+                best = c
+        out.append(best)
+    return out
+
+
+def person_cost(spelling: str, p: Person) -> float | None:
+    return person_costs(spelling, [p])[0]
 
 
 def _significant(form: str) -> list[str]:
@@ -265,15 +303,12 @@ def _run_together(tokens: list[str], target: list[str]) -> float | None:
 
 def _best(spelling: str, candidates: list[tuple[int, str, float]], kind: str, parsed: dict) -> tuple[int, float] | None:
     """The one candidate the spelling can mean best; None if there is none or two are equally good."""
-    scored = []
-    for eid, name, sim in candidates:
-        if kind == "author":
-            p = parsed.get(eid) or parsed.setdefault(eid, person(name))
-            c = person_cost(spelling, p)
-        else:
-            c = journal_cost(spelling, name)
-        if c is not None:
-            scored.append((c, eid, sim))
+    if kind == "author":
+        persons = [parsed.get(eid) or parsed.setdefault(eid, person(name)) for eid, name, _ in candidates]
+        costs = person_costs(spelling, persons)
+    else:
+        costs = [journal_cost(spelling, name) for _, name, _ in candidates]
+    scored = [(c, eid, sim) for c, (eid, _, sim) in zip(costs, candidates) if c is not None]
     if not scored:
         return None
     scored.sort()
@@ -320,12 +355,12 @@ class Index:
         norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
         return {g: x / norm for g, x in w.items()}
 
-    def top(self, v: dict[str, float], n: int = TOP_N, threshold: float = THRESHOLD) -> list[tuple[int, str, float, int]]:
+    def top(self, v: dict[str, float], n: int = TOP_N) -> list[tuple[int, str, float, int]]:
         hits = [(self.posts[g], x) for g, x in v.items() if g in self.posts]
         if not hits:
             return []
         sims = np.bincount(np.concatenate([p[0] for p, _ in hits]), np.concatenate([p[1] * x for p, x in hits]), len(self.ids))
-        keep = np.flatnonzero(sims >= threshold)
+        keep = np.flatnonzero(sims >= THRESHOLD[self.kind])
         if len(keep) > n:
             floor = np.partition(sims[keep], -n)[-n]
             keep = keep[sims[keep] >= floor - 1e-9]
@@ -410,7 +445,7 @@ def candidates_joined(spellings: DataFrame, reference: DataFrame) -> DataFrame:
     said = said.join(idf, ["kind", "g"], "left").join(F.broadcast(n), "kind").withColumn("w", F.col("c") * F.coalesce("idf", F.log(1 + F.col("n"))))
     whole = said.groupBy("kind", "spelling").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list("g").alias("grams"), F.collect_list("w").alias("ws"))
     sims = said.join(vec.select("kind", "g", "entity_id", "name", "form", F.col("w").alias("rw")), ["kind", "g"]).groupBy("kind", "spelling", "entity_id", "name", "form").agg(F.sum(F.col("w") * F.col("rw")).alias("dot"))
-    sims = sims.join(whole.select("kind", "spelling", "norm"), ["kind", "spelling"]).withColumn("sim", F.col("dot") / F.col("norm")).where(F.col("sim") >= THRESHOLD)
+    sims = sims.join(whole.select("kind", "spelling", "norm"), ["kind", "spelling"]).withColumn("sim", F.col("dot") / F.col("norm")).where(F.col("sim") >= F.when(F.col("kind") == "author", THRESHOLD["author"]).otherwise(THRESHOLD["journal"]))
     from pyspark.sql.window import Window as W
 
     top = sims.withColumn("rk", F.rank().over(W.partitionBy("kind", "spelling").orderBy(F.desc(F.round("sim", 9))))).where(F.col("rk") <= TOP_N)

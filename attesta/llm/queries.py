@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, cutoffs, mixing, mojibake, names, skeletons, spellings, survivors
+from attesta.llm import bpe, cutoffs, entities, mixing, mojibake, names, skeletons, spellings, survivors
 from attesta.sources.tables import table
 
 _FIELDS = {"doi": spellings.canonical_doi, "url": spellings.canonical_url}
@@ -65,6 +65,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
 
 
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    return entities.matches(table(spark, d, "academic_sources"), "rec_id", table(spark, d, "registry_works"), "work_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_matches(spark, d).select("rec_id", "work_id")
+
+
 _BUNDLES = (survivors.venue(), survivors.content(), survivors.authors())
 
 
@@ -93,7 +101,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p3_found, p3_classes, p3_normalised, p4_found, p4_shares, p6_found, p6_records, p7_ids, p8_mix, p8_shares, p9_found, p9_restored)
+    f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p3_found, p3_classes, p3_normalised, p4_found, p4_shares, p5_found, p5_matches, p6_found, p6_records, p7_ids, p8_mix, p8_shares, p9_found, p9_restored)
 }
 
 ORACLE: dict[str, str] = {}
