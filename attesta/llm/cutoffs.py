@@ -24,8 +24,9 @@ from attesta.operators.durable import durable
 # Abbreviations that end in a dot without ending a sentence.
 ABBREVIATIONS = ("e.g.", "i.e.", "cf.", "vs.", "fig.", "figs.", "eq.", "eqs.", "ref.", "refs.", "approx.", "no.", "z.b.", "d.h.", "p.ej.", "resp.")
 
-#: An unmarked ending is the author's if at least this many distinct texts end so ...
+#: An unmarked ending is the author's if at least so many distinct texts end so, and this share of all texts ...
 LEAST_ENDS = 20
+TEXT_SHARE = 0.001
 #: ... and they are at least this share of all its occurrences.
 END_SHARE = 0.5
 
@@ -95,7 +96,7 @@ _OPEN = "SELECT g, count(DISTINCT t) AS ends FROM {ends} WHERE said = 2 GROUP BY
 _VERDICT = f"""
 SELECT part, rid, source, said = 1 AS cut, CAST(NULL AS bigint) AS inside, CAST(NULL AS bigint) AS ends FROM {{ends}} WHERE said < 2
 UNION ALL
-SELECT part, rid, source, NOT (c.ends >= {LEAST_ENDS} AND c.ends >= {END_SHARE} * (c.ends + coalesce(i.inside, 0))) AS cut, coalesce(i.inside, 0) AS inside, c.ends
+SELECT part, rid, source, NOT (c.ends >= {LEAST_ENDS} AND c.ends >= {TEXT_SHARE} * (SELECT count(*) FROM {{ends}}) AND c.ends >= {END_SHARE} * (c.ends + coalesce(i.inside, 0))) AS cut, coalesce(i.inside, 0) AS inside, c.ends
 FROM (SELECT * FROM {{ends}} WHERE said = 2) e
 JOIN {{open}} c ON e.g = c.g
 LEFT JOIN {{inside}} i ON e.g = i.g
