@@ -1,4 +1,4 @@
-"""All queries of the library."""
+"""All queries of the core library and their SQL."""
 
 from __future__ import annotations
 
@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attesta.plans import core, sql
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+FLAGSHIP = core.c_consensus
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(core.Q)
 
 
 def oracle() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
