@@ -10,6 +10,7 @@ from attesta.functions import identity as idy
 from attesta.functions import lexicon as lx
 from attesta.functions import quotes, text as tx
 from attesta.operators import citations, consensus, lookup, ordered, registry, retrieval, scorecard, trust, verdicts
+from attesta.plans import render
 from attesta.sources.cache import fresh
 from attesta.sources.tables import table
 
@@ -551,6 +552,39 @@ def c_table_rows(s, d):
     return p.select("run_id", "claim_id", row.alias("row"))
 
 
+# rendering
+
+
+@query
+def z_quality_rows(s, d):
+    p = table(s, d, "profiles")
+    return p.select("profile_id", render.quality_row(F.col("profile_id") % 100).alias("row"))
+
+
+@query
+def z_literature_tables(s, d):
+    """The literature table of each run's first eight sources."""
+    v = lookup.agreed_label(_evidence(s, d).select("source_id", "item_id", "evidence_id", "source_key", "source_url", "claim", F.lit(None).cast("string").alias("label")), table(s, d, "verdicts"), idy.report_url)
+    good = v.where("label = 'ENTAILMENT' AND claim <> ''").groupBy("source_id", "claim").agg(F.min("item_id").alias("i"))
+    good = ordered.first_wins(good, ["source_id"], ["i"], 3).groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "claim"))), lambda x: x["claim"]).alias("claims"))
+    x = ordered.first_wins(_sources(s, d), ["run_id"], ["pos"], 8).withColumn("source_id", F.concat(F.lit("source_"), F.col("rec_id").cast("string"))).join(good, "source_id", "left")
+    n = F.row_number().over(W.partitionBy("run_id").orderBy("pos"))
+    rows = x.withColumn("n", n).withColumn("row", render.literature_row(F.col("n"), F.coalesce("claims", F.array().cast("array<string>"))))
+    return render.joined(rows, "run_id", "n", "row")
+
+
+@query
+def z_source_lists(s, d):
+    x = ordered.first_wins(_sources(s, d), ["run_id"], ["pos"], 12).withColumn("n", F.row_number().over(W.partitionBy("run_id").orderBy("pos")))
+    return render.joined(x.withColumn("row", render.source_entry(F.col("n"))), "run_id", "n", "row")
+
+
+@query
+def z_audit_texts(s, d):
+    a = citations.audit(_reports(s, d), F.lit(9))
+    return a.select("doc_id", render.audit_text(F.col("eligible"), F.col("cited"), F.col("coverage_percent"), F.col("invalid_markers"), F.col("total_markers")).alias("text"))
+
+
 # quotations
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from attesta.functions import lexicon as lx
+from attesta.plans import render
 from attesta.plans.core import HOSTS, NOW, TOPIC
 
 SQL: dict[str, str] = {}
@@ -466,5 +467,30 @@ SQL["c_nearest"] = """
 WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 6) AS similarity FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, vec_id, similarity FROM s WHERE similarity >= 0.40 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) = 1
 """
-SQL["q_in_source"] = ""
-del SQL["q_in_source"]
+
+
+def _badge(c: str, names: dict, other: str) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN {_lit(k)} THEN {_lit(v)}" for k, v in names.items()) + f" ELSE {_lit(other)} END"
+
+
+def _short(x: str, n: int) -> str:
+    return f"CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '...' ELSE {x} END"
+
+
+_T = "coalesce(nullif(title, ''), 'Untitled')"
+_V0 = "trim(coalesce(nullif(journal_name, ''), nullif(publisher, ''), 'Academic Record'))"
+_V = f"CASE WHEN lower({_V0}) IN ('unknown', '', 'none') THEN coalesce(nullif(publisher, ''), 'Academic Record') ELSE {_V0} END"
+SQL["z_quality_rows"] = f"""
+SELECT profile_id, '| [' || (profile_id % 100) || '] | ' || {_short(_T, 42)} || ' | ' || {_badge('openalex_status', render.REGISTRY, '⚠️ Unavailable')} || ' | ' || {_badge('crossref_status', render.REGISTRY, '⚠️ Unavailable')} || ' | ' ||
+CASE WHEN coalesce(is_retracted, false) THEN '🔴 **RETRACTED**' ELSE '🟢 No retraction flag (OpenAlex/Crossref)' END || ' | ' || {_short('(' + _V + ')', 45)} || ' | `' || coalesce(nullif(issn, ''), 'N/A') || '` | ' ||
+CASE WHEN coalesce(title_similarity, 0) >= 0.75 THEN '✅ Match (' ELSE '⚠️ Review (' END || printf('%.2f', coalesce(title_similarity, 0.0)) || ') | ' || translate(coalesce(metadata_agreement, 'N/A'), '|' || chr(10), '/ ') || ' | ' ||
+{_badge('identity_status', render.IDENTITY, '⚪ UNVERIFIED')} || ' | ' || {_badge('confidence_level', render.CONFIDENCE, '⚪ LOW')} || ' |' AS row FROM profiles
+"""
+SQL["z_source_lists"] = """
+WITH a AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS n FROM academic_sources QUALIFY n <= 12)
+SELECT run_id, string_agg('[' || n || '] [' || coalesce(title, 'Untitled') || '](' || coalesce(url, '') || ')' || chr(10) || '    ' || concat_ws(' | ', '**Harvested From:** ' || coalesce(nullif(source, ''), 'Web Search'), '**Venue:** *' || nullif(venue, '') || '*'), chr(10) ORDER BY n) AS text FROM a GROUP BY run_id
+"""
+SQL["z_audit_texts"] = f"""
+WITH {_AUDIT} SELECT doc_id, '## Citation Integrity Audit' || chr(10) || chr(10) || '- Eligible factual-claim candidates: ' || eligible || chr(10) || '- Candidates with at least one registered citation: ' || cited || chr(10) ||
+'- Claim-level citation coverage: ' || CASE WHEN eligible = 0 THEN 'None' ELSE printf('%.2f', round(cited / eligible * 100, 2)) END || '%' || chr(10) || '- Invalid citation marker occurrences: ' || (total_markers - valid_markers) || chr(10) || '- Total inline citation marker occurrences: ' || total_markers AS text FROM aud
+"""
