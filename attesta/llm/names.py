@@ -123,7 +123,7 @@ def distance(a: str, b: str, most: int) -> int:
     while a and b and a[-1] == b[-1]:
         a, b = a[:-1], b[:-1]
     if not a or not b:
-        return len(a) or len(b)
+        return min(len(a) or len(b), most + 1)
     before: list[int] = []
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -135,7 +135,7 @@ def distance(a: str, b: str, most: int) -> int:
         if min(now) > most:
             return most + 1
         before, row = row, now
-    return row[-1]
+    return min(row[-1], most + 1)
 
 
 @dataclass(frozen=True)
