@@ -8,6 +8,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _EDGE = " .!?,;:\"'“”‘’"
 _QUOTES = str.maketrans("‘’“”–—", "''\"\"--")
@@ -69,16 +70,16 @@ def in_source(evidence: str | None, title: str | None, content: str | None, leas
     return difflib.SequenceMatcher(None, s, e, autojunk=False).find_longest_match(0, len(s), 0, len(e)).size / len(e) >= least
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def recovered(quote: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series([recover(q, s) for q, s in zip(quote, source)], dtype="object")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def found_in_source(evidence: pd.Series, title: pd.Series, content: pd.Series) -> pd.Series:
     return pd.Series([in_source(e, t, c) for e, t, c in zip(evidence, title, content)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def matching_form(text: pd.Series) -> pd.Series:
     return text.map(match_form)

@@ -58,11 +58,8 @@ def audit(reports: DataFrame, sources: Column, id_col: str = "doc_id", body: str
 
 def body_of(report: Column) -> Column:
     """A report before its consensus tables and source lists."""
-    out = report
-    for mark in lx.BODY_ENDS:
-        at = F.instr(out, mark)
-        out = F.when(at > 0, F.substr(out, F.lit(1), at - 1)).otherwise(out)
-    return out
+    first = F.least(*[F.coalesce(F.nullif(F.instr(report, mark), F.lit(0)), F.length(report) + 1) for mark in lx.BODY_ENDS])
+    return F.substr(report, F.lit(1), first - 1)
 
 
 def inline_count(report: Column) -> Column:

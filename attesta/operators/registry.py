@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.functions import lexicon as lx
 from attesta.functions.text import jaccard
@@ -41,7 +42,7 @@ def clean_title(c: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching characters over all characters, by recursive longest blocks."""
     return pd.Series([0.0 if not x or not y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])

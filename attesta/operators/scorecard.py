@@ -37,7 +37,7 @@ def gap_acknowledged(report: Column) -> Column:
 def overall(sections: Column, coverage: Column, div: Column, dens: Column, gap: Column, judge: Column | None = None) -> Column:
     """0 to 10; 0.4 of the rules and 0.6 of the judge if there is one."""
     rule = (sections * 0.35 + coverage * 0.25 + div * 0.15 + F.least(dens / 10, F.lit(1.0)) * 0.15 + F.when(gap, 0.10).otherwise(0.0)) * 10
-    return F.round(rule if judge is None else F.when(judge.isNull(), rule).otherwise(rule * 0.4 + judge * 0.6), 2)
+    return F.round(F.round(rule if judge is None else F.when(judge.isNull(), rule).otherwise(rule * 0.4 + judge * 0.6), 6) * 100) / 100
 
 
 def ablation(scores: DataFrame, topic: str, mode: str, value: str) -> DataFrame:

@@ -242,7 +242,7 @@ def _evidence_sources(s, d) -> DataFrame:
 
 @query
 def j_evidence_sources(s, d):
-    return _evidence_sources(s, d).select("item_id", "rec_id")
+    return _evidence_sources(s, d).select("item_id", F.coalesce("rec_id", F.lit(0)).alias("rec_id"))
 
 
 @query

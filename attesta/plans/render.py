@@ -38,7 +38,7 @@ def quality_row(number: Column) -> Column:
     title = _short(F.coalesce(_given("title"), F.lit("Untitled")), 42)
     venue = F.trim(F.coalesce(_given("journal_name"), _given("publisher"), F.lit("Academic Record")))
     venue = F.when(F.lower(venue).isin("unknown", "", "none"), F.coalesce(_given("publisher"), F.lit("Academic Record"))).otherwise(venue)
-    sim = F.format_string("%.2f", F.coalesce("title_similarity", F.lit(0.0)))
+    sim = F.format_string("%.2f", F.round(F.coalesce("title_similarity", F.lit(0.0)), 2))
     match = F.when(F.coalesce("title_similarity", F.lit(0.0)) >= 0.75, F.concat(F.lit("✅ Match ("), sim, F.lit(")"))).otherwise(F.concat(F.lit("⚠️ Review ("), sim, F.lit(")")))
     parts = [
         F.concat(F.lit("["), number.cast("string"), F.lit("]")), title, _badge(F.col("openalex_status"), REGISTRY, "⚠️ Unavailable"), _badge(F.col("crossref_status"), REGISTRY, "⚠️ Unavailable"),
@@ -71,7 +71,7 @@ def audit_text(eligible: Column, cited: Column, coverage: Column, invalid: Colum
     """The citation audit of a report."""
     return F.concat(
         F.lit("## Citation Integrity Audit\n\n- Eligible factual-claim candidates: "), eligible.cast("string"), F.lit("\n- Candidates with at least one registered citation: "), cited.cast("string"),
-        F.lit("\n- Claim-level citation coverage: "), F.coalesce(F.format_string("%.2f", coverage), F.lit("None")), F.lit("%\n- Invalid citation marker occurrences: "), invalid.cast("string"),
+        F.lit("\n- Claim-level citation coverage: "), F.when(coverage.isNull(), "None").otherwise(F.format_string("%.2f", coverage)), F.lit("%\n- Invalid citation marker occurrences: "), invalid.cast("string"),
         F.lit("\n- Total inline citation marker occurrences: "), total.cast("string"),
     )
 

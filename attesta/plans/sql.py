@@ -232,7 +232,7 @@ SQL["j_profiles"] = f"SELECT s.run_id, s.pos, s.rec_id, p.doi_verified, p.is_ret
 SQL["j_evidence_sources"] = """
 WITH b AS (SELECT rec_id, url FROM academic_sources UNION ALL SELECT rec_id, url FROM pinned_sources),
 u AS (SELECT url, min(rec_id) AS rec_id FROM b WHERE url <> '' GROUP BY url)
-SELECT e.item_id, coalesce(i.rec_id, u.rec_id) AS rec_id FROM evidence_items e
+SELECT e.item_id, coalesce(i.rec_id, u.rec_id, 0) AS rec_id FROM evidence_items e
 LEFT JOIN b i ON e.item_id % 7 <> 0 AND e.source_id = 'source_' || i.rec_id LEFT JOIN u ON u.url = e.source_url
 """
 _CL = f"nullif(lower({_line('coalesce(claim, ' + chr(39) * 2 + ')')}), '')"
@@ -357,14 +357,14 @@ a AS (SELECT *, {_status('oa_id', 0)} AS oa, {_status('cr_id', 2)} AS cr, {_ct('
 b AS (SELECT *, {_tsim('ct', 'co')} AS so, {_tsim('ct', 'cc')} AS sc, {_tsim('co', 'cc')} AS sb,
       CASE WHEN coalesce(NOT ab, false) OR (has AND (coalesce(NOT ao, false) OR coalesce(NOT ac, false))) THEN false WHEN has AND (coalesce(ab, false) OR coalesce(ao, false) OR coalesce(ac, false)) THEN true END AS am,
       CASE WHEN given THEN (CASE WHEN jo = '' OR jc = '' THEN 0.0 WHEN contains(jo, jc) OR contains(jc, jo) THEN 1.0 ELSE {_tsim('jo', 'jc')} END) >= 0.55 END AS jm FROM a),
-c AS (SELECT *, greatest(so, sc) AS sim, oa = 'VERIFIED' AND cr = 'VERIFIED' AS both, coalesce(am, true) AND coalesce(jm, true) AS calm FROM b),
-d AS (SELECT *, sim >= 0.80 AND coalesce(am, false) AND both AS strong FROM c),
+c AS (SELECT *, greatest(so, sc) AS sim, oa = 'VERIFIED' AND cr = 'VERIFIED' AS twice, coalesce(am, true) AND coalesce(jm, true) AS calm FROM b),
+d AS (SELECT *, sim >= 0.80 AND coalesce(am, false) AND twice AS strong FROM c),
 e AS (SELECT *, NOT coalesce(am, true) OR (NOT coalesce(jm, true) AND NOT strong) OR ((oa = 'VERIFIED' OR cr = 'VERIFIED') AND sim < 0.70) AS conflict,
-      both AND sb >= 0.85 AND sim >= 0.80 AND coalesce(am, false) AND coalesce(jm, false) AS high, both AND sim >= 0.70 AND sb >= 0.60 AND coalesce(am, true) AND (coalesce(jm, true) OR strong) AS mid,
+      twice AND sb >= 0.85 AND sim >= 0.80 AND coalesce(am, false) AND coalesce(jm, false) AS high, twice AND sim >= 0.70 AND sb >= 0.60 AND coalesce(am, true) AND (coalesce(jm, true) OR strong) AS mid,
       oa = 'VERIFIED' AND cr IN ('TIMEOUT', 'UNAVAILABLE', 'RATE_LIMITED') AS only_oa, cr = 'VERIFIED' AND oa IN ('TIMEOUT', 'UNAVAILABLE', 'RATE_LIMITED') AS only_cr,
       (oa = 'VERIFIED' AND cr = 'NOT_FOUND') OR (cr = 'VERIFIED' AND oa = 'NOT_FOUND') AS split FROM d),
 f AS (SELECT *, CASE WHEN high THEN 'HIGH' WHEN mid OR (only_oa AND so >= 0.70 AND calm) OR (only_cr AND sc >= 0.70 AND calm) OR (split AND sim >= 0.70 AND calm) THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
-      CASE WHEN high THEN 'HIGH' WHEN mid THEN 'MODERATE' WHEN both THEN 'MISMATCH' WHEN only_oa THEN 'SINGLE_SOURCE (Crossref unavailable)' WHEN only_cr THEN 'SINGLE_SOURCE (OpenAlex unavailable)'
+      CASE WHEN high THEN 'HIGH' WHEN mid THEN 'MODERATE' WHEN twice THEN 'MISMATCH' WHEN only_oa THEN 'SINGLE_SOURCE (Crossref unavailable)' WHEN only_cr THEN 'SINGLE_SOURCE (OpenAlex unavailable)'
       WHEN split THEN 'SINGLE_SOURCE (Registry discrepancy)' WHEN oa = 'NOT_FOUND' AND cr = 'NOT_FOUND' THEN 'NOT_FOUND' ELSE 'UNAVAILABLE' END AS agreement FROM e)
 SELECT f.rec_id, oa AS oa_status, cr AS cr_status, round(sim, 3) AS title_similarity, am AS authors_match, jm AS journal_match, confidence, agreement,
 CASE WHEN coalesce(l.is_retracted, false) THEN 'RETRACTED' WHEN conflict THEN 'IDENTITY_MISMATCH' WHEN confidence = 'HIGH' AND agreement = 'HIGH' THEN 'VERIFIED' WHEN confidence = 'MEDIUM' THEN 'PROVISIONAL' ELSE 'UNVERIFIED' END AS identity_status
@@ -412,7 +412,7 @@ z AS (SELECT doc_id, round(({' + '.join(f"CAST(contains(lower(text), {_lit(s)})
       CASE WHEN {_WC('text')} > 0 THEN round(cited / ({_WC('text')}) * 1000, 2) ELSE 0.0 END AS density,
       CASE WHEN doc_id % 13 + doc_id % 9 > 0 THEN round((doc_id % 9) / (doc_id % 13 + doc_id % 9), 2) ELSE 0.0 END AS diversity,
       instr(lower(text), 'knowledge gap') > 0 AND {_WC("substr(text, greatest(instr(lower(text), 'knowledge gap'), 1), 600)")} > 40 AS gap FROM aud)
-SELECT *, round({_RULE}, 2) AS rule_score, round(CASE WHEN doc_id % 2 = 0 THEN ({_RULE}) * 0.4 + (doc_id % 10 + 1) * 0.6 ELSE {_RULE} END, 2) AS overall FROM z
+SELECT *, round(round({_RULE}, 6) * 100) / 100 AS rule_score, round(round(CASE WHEN doc_id % 2 = 0 THEN ({_RULE}) * 0.4 + (doc_id % 10 + 1) * 0.6 ELSE {_RULE} END, 6) * 100) / 100 AS overall FROM z
 """
 SQL["x_ablation"] = """
 SELECT upper(label) AS topic, round(avg(coalesce(confidence, 0)) FILTER (verdict_id % 2 <> 0), 4) AS verification_off, round(avg(coalesce(confidence, 0)) FILTER (verdict_id % 2 = 0), 4) AS verification_on FROM verdicts GROUP BY upper(label)
@@ -483,7 +483,7 @@ _V = f"CASE WHEN lower({_V0}) IN ('unknown', '', 'none') THEN coalesce(nullif(pu
 SQL["z_quality_rows"] = f"""
 SELECT profile_id, '| [' || (profile_id % 100) || '] | ' || {_short(_T, 42)} || ' | ' || {_badge('openalex_status', render.REGISTRY, '⚠️ Unavailable')} || ' | ' || {_badge('crossref_status', render.REGISTRY, '⚠️ Unavailable')} || ' | ' ||
 CASE WHEN coalesce(is_retracted, false) THEN '🔴 **RETRACTED**' ELSE '🟢 No retraction flag (OpenAlex/Crossref)' END || ' | ' || {_short('(' + _V + ')', 45)} || ' | `' || coalesce(nullif(issn, ''), 'N/A') || '` | ' ||
-CASE WHEN coalesce(title_similarity, 0) >= 0.75 THEN '✅ Match (' ELSE '⚠️ Review (' END || printf('%.2f', coalesce(title_similarity, 0.0)) || ') | ' || translate(coalesce(metadata_agreement, 'N/A'), '|' || chr(10), '/ ') || ' | ' ||
+CASE WHEN coalesce(title_similarity, 0) >= 0.75 THEN '✅ Match (' ELSE '⚠️ Review (' END || printf('%.2f', round(coalesce(title_similarity, 0.0), 2)) || ') | ' || translate(coalesce(metadata_agreement, 'N/A'), '|' || chr(10), '/ ') || ' | ' ||
 {_badge('identity_status', render.IDENTITY, '⚪ UNVERIFIED')} || ' | ' || {_badge('confidence_level', render.CONFIDENCE, '⚪ LOW')} || ' |' AS row FROM profiles
 """
 SQL["z_source_lists"] = """

@@ -193,7 +193,7 @@ def test_citation_numbers(spark):
 
 
 # Published inputs and overall scores of five reports.
-PUBLISHED = [(1.0, 0.40, 8.63, True, 6.8, 7.64), (3 / 14, 0.40, 5.22, True, 7.0, 6.77), (0.0, 0.40, 6.09 and 7.58, True, 6.0, 6.09), (0.0, 0.37, 4.78, True, 6.6, 6.27), (0.0, 0.40, 6.96, True, 6.8, 6.66)]
+PUBLISHED = [(1.0, 0.40, 8.63, True, 6.8, 7.64), (3 / 14, 0.40, 5.22, True, 7.0, 6.77), (0.0, 0.40, 7.58, True, 6.0, 6.09), (0.0, 0.37, 4.78, True, 6.6, 6.27), (0.0, 0.40, 6.96, True, 7.0, 6.66)]
 
 
 @pytest.mark.parametrize("cov, div, dens, gap, judge, score", PUBLISHED)
