@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.functions.text import blank_to_null, one_line, strip
+from attesta.functions.text import blank_to_null, let, one_line, strip
 
 
 def _no_slash(c: Column) -> Column:
@@ -15,8 +15,7 @@ def _no_slash(c: Column) -> Column:
 def source_key(doi: Column, url: Column, title: Column) -> Column:
     """Digest of the first of DOI, address and title that is given; '' if none is. Resolver prefixes are not removed."""
     first = F.coalesce(F.when(doi != "", doi), F.when(url != "", url), F.when(title != "", title))
-    ident = _no_slash(F.lower(strip(first)))
-    return F.when(ident != "", F.concat(F.lit("src_"), F.substring(F.sha2(ident, 256), 1, 16))).otherwise(F.lit(""))
+    return let(_no_slash(F.lower(strip(first))), lambda ident: F.when(ident != "", F.concat(F.lit("src_"), F.substring(F.sha2(ident, 256), 1, 16))).otherwise(F.lit("")))
 
 
 def evidence_id(key: Column, evidence: Column, claim: Column) -> Column:
@@ -65,10 +64,9 @@ def _query(url: Column, drop: str) -> Column:
 def _url(url: Column, authority: Column, drop: str) -> Column:
     u = strip(url)
     scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    path = _no_slash(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1))
-    q = _query(url, drop)
-    full = F.concat(scheme, F.lit("://"), authority, F.when(path == "", F.lit("/")).otherwise(path), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
-    return F.when(u == "", F.lit("")).when(authority != "", full).otherwise(_no_slash(F.lower(u)))
+    path = let(_no_slash(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)), lambda x: F.when(x == "", F.lit("/")).otherwise(x))
+    tail = let(_query(url, drop), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+    return let(authority, lambda a: F.when(u == "", F.lit("")).when(a != "", F.concat(scheme, F.lit("://"), a, path, tail)).otherwise(_no_slash(F.lower(u))))
 
 
 def web_url(url: Column) -> Column:
@@ -92,11 +90,12 @@ def report_url(url: Column) -> Column:
 
 def aliases(doi: Column, url: Column) -> Column:
     """The identifiers that connect equal sources in a report, the DOI first."""
-    u = report_url(url)
-    d = report_doi(doi)
-    from_url = report_doi(u)
-    d = F.when(d != "", d).when((u != "") & (from_url != "") & (from_url != u), from_url).otherwise(F.lit(""))
-    return F.array_compact(F.array(F.when(d != "", F.concat(F.lit("doi:"), d)), F.when(u != "", F.concat(F.lit("url:"), u))))
+
+    def both(u: Column) -> Column:
+        own = let(report_doi(doi), lambda d: F.when(d != "", d).otherwise(let(report_doi(u), lambda x: F.when((u != "") & (x != "") & (x != u), x).otherwise(F.lit("")))))
+        return let(own, lambda d: F.array_compact(F.array(F.when(d != "", F.concat(F.lit("doi:"), d)), F.when(u != "", F.concat(F.lit("url:"), u)))))
+
+    return let(report_url(url), both)
 
 
 def cache_key(query: Column, n: Column) -> Column:

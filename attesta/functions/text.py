@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ from attesta.functions import lexicon as lx
 _SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it, also inside lambdas and branches."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
@@ -81,9 +86,12 @@ def windows(c: Column, size: int = 2) -> Column:
         kept = F.regexp_replace(kept, pattern, f"$1{_DOT}$2{_DOT}")
     kept = F.regexp_replace(kept, r"(?i)\b(figs?|eqs?|refs?)\.", f"$1{_DOT}")
     parts = F.filter(F.transform(F.split(kept, r"(?<=[.!?])\s+"), lambda s: F.replace(strip(s), F.lit(_DOT), F.lit("."))), lambda s: s != "")
-    n = F.size(parts)
-    many = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(parts, i, size), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n <= size, F.array(F.array_join(parts, " "))).otherwise(many)
+
+    def slide(p: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(p) - size + 1), lambda i: F.array_join(F.slice(p, i, size), " "))
+        return F.when(F.size(p) == 0, F.array().cast("array<string>")).when(F.size(p) <= size, F.array(F.array_join(p, " "))).otherwise(many)
+
+    return let(parts, slide)
 
 
 def authors_line(authors: Column) -> Column:
@@ -95,9 +103,10 @@ def authors_line(authors: Column) -> Column:
 
 def cell(c: Column, limit: int) -> Column:
     """A table cell: no bars or line breaks, cut at a word with an ellipsis."""
-    t = F.trim(F.translate(c, "|\n", "/ "))
-    head = F.substring(t, 1, limit)
-    return F.when(F.length(t) > limit, F.concat(F.regexp_replace(head, r" [^ ]*$", ""), F.lit("…"))).otherwise(t)
+    return let(
+        F.trim(F.translate(c, "|\n", "/ ")),
+        lambda t: F.when(F.length(t) > limit, F.concat(F.regexp_replace(F.substring(t, 1, limit), r" [^ ]*$", ""), F.lit("…"))).otherwise(t),
+    )
 
 
 def clean_query(c: Column, most: int = 7) -> Column:
@@ -107,11 +116,12 @@ def clean_query(c: Column, most: int = 7) -> Column:
         q = F.when(F.startswith(q, F.lit(prefix)), strip(F.substring(q, len(prefix) + 1, 1_000_000))).otherwise(q)
     q = F.regexp_replace(q, "^[\"'`]+|[\"'`]+$", "")
     q = F.regexp_replace(F.regexp_replace(q, r"\b(AND|OR|NOT)\b", " "), r"[()\[\]{}:;?,\n\r]", " ")
-    q = one_line(q)
-    terms = F.split(q, " ")
-    kept = F.filter(terms, lambda w: ~F.lower(w).isin(lx.QUERY_STOP_WORDS))
-    short = F.array_join(F.slice(F.when(F.size(kept) >= 3, kept).otherwise(terms), 1, most), " ")
-    return F.when(F.size(terms) > most, short).otherwise(q)
+
+    def shorten(terms: Column) -> Column:
+        kept = F.filter(terms, lambda w: ~F.lower(w).isin(lx.QUERY_STOP_WORDS))
+        return F.array_join(F.when(F.size(terms) <= most, terms).otherwise(F.slice(F.when(F.size(kept) >= 3, kept).otherwise(terms), 1, most)), " ")
+
+    return let(F.split(one_line(q), " "), shorten)
 
 
 def key_passages(c: Column, most: int = 12, chars: int = 3500) -> Column:
@@ -120,8 +130,7 @@ def key_passages(c: Column, most: int = 12, chars: int = 3500) -> Column:
     parts = F.split(text, r"(?<=[.!?])\s+")
     scored = F.transform(parts, lambda s, i: F.struct((-F.regexp_count(s, F.lit("(?i)" + lx.FINDING_CUES))).alias("n"), i.alias("i"), s.alias("s")))
     scored = F.slice(F.array_sort(F.filter(scored, lambda x: (F.length(x["s"]) > 40) & (F.length(x["s"]) < 400))), 1, most)
-    cued = F.filter(scored, lambda x: x["n"] < 0)
-    chosen = F.when(F.size(cued) > 0, cued).otherwise(scored)
+    chosen = let(scored, lambda x: let(F.filter(x, lambda v: v["n"] < 0), lambda cued: F.when(F.size(cued) > 0, cued).otherwise(x)))
     ordered = F.array_sort(F.transform(chosen, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
     return F.substring(F.array_join(F.transform(ordered, lambda x: x["s"]), " "), 1, chars)
 
@@ -129,6 +138,5 @@ def key_passages(c: Column, most: int = 12, chars: int = 3500) -> Column:
 def from_inverted_index(index: Column) -> Column:
     """Text of a map from words to their positions; of two words at one position the last in the map stays."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e, k: F.transform(e["value"], lambda p: F.struct(p.alias("p"), (-k).alias("k"), e["key"].alias("w")))))
-    ordered = F.array_sort(pairs)
-    first = F.filter(ordered, lambda x, i: (i == 0) | (x["p"] != F.get(ordered, i - 1)["p"]))
+    first = let(F.array_sort(pairs), lambda o: F.filter(o, lambda x, i: (i == 0) | (x["p"] != F.get(o, i - 1)["p"])))
     return F.array_join(F.transform(first, lambda x: x["w"]), " ")

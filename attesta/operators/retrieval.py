@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from attesta.functions import lexicon as lx
-from attesta.functions.text import keywords, latin_terms, windows
+from attesta.functions.text import keywords, latin_terms, let, windows
 
 K1, B = 1.5, 0.75
 
@@ -36,33 +39,56 @@ def best_passages(pairs: DataFrame, claims: DataFrame, sources: DataFrame, most:
     The corpus of a source is its own windows. Of equal scores the first window wins; pairs without a common term
     are left out. Sources are split and counted once, however many claims they meet.
     """
-    w = sources.select("source_id", F.posexplode(windows(F.col("content"))).alias("window", "passage"))
-    terms = w.select("source_id", "window", latin_terms(F.col("passage"), 2, "a-z0-9").alias("t"))
-    stats = terms.groupBy("source_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    tf = terms.select("source_id", "window", F.size("t").alias("dl"), F.explode("t").alias("w")).groupBy("source_id", "window", "dl", "w").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("source_id", "w").agg(F.count("*").alias("df"))
+    terms_of = F.transform(windows(F.col("content")), lambda p: latin_terms(p, 2, "a-z0-9"))
+    # from here to the join with the claims everything stays where the source is
+    base = sources.select("source_id", "content").repartition("source_id").select("source_id", terms_of.alias("t"))
+    base = base.select("source_id", F.size("t").alias("n"), F.aggregate("t", F.lit(0), lambda a, x: a + F.size(x)).alias("total"), F.posexplode("t").alias("window", "x"))
+    each = base.select("source_id", "n", "total", "window", F.size("x").alias("dl"), F.explode("x").alias("w"))
+    tf = each.groupBy("source_id", "n", "total", "window", "dl", "w").agg(F.count("*").alias("tf"))
+    tf = tf.withColumn("df", F.count("*").over(W.partitionBy("source_id", "w")))
     q = claims.select("claim_id", F.explode(query_terms(F.col("claim"))).alias("w")).groupBy("claim_id", "w").agg(F.count("*").alias("times"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weight = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("total") / F.col("n"))))
     scored = (
-        pairs.select("claim_id", "source_id").join(q, "claim_id").join(tf, ["source_id", "w"]).join(df, ["source_id", "w"]).join(stats, "source_id")
+        pairs.select("claim_id", "source_id").join(q, "claim_id").join(tf, ["source_id", "w"])
         .groupBy("claim_id", "source_id", "window").agg(F.round(F.sum(weight), 6).alias("score"))
     )
     best = scored.groupBy("claim_id", "source_id").agg(F.max(F.struct("score", (-F.col("window")).alias("w"))).alias("b"))
     best = best.select("claim_id", "source_id", (-F.col("b.w")).alias("window"), F.col("b.score").alias("score")).where("score > 0")
-    cut = F.when(F.length("passage") > most, F.concat(F.substring("passage", 1, most), F.lit("..."))).otherwise(F.col("passage"))
-    return best.join(w, ["source_id", "window"]).select("claim_id", "source_id", "window", cut.alias("passage"), "score")
+    cut = let(F.get(windows(F.col("content")), F.col("window")), lambda p: F.when(F.length(p) > most, F.concat(F.substring(p, 1, most), F.lit("..."))).otherwise(p))
+    return best.join(sources.select("source_id", "content"), "source_id").select("claim_id", "source_id", "window", cut.alias("passage"), "score")
+
+
+#: Vectors of one block; a product of two blocks is a matrix of at most BLOCK x BLOCK numbers.
+BLOCK = 4096
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, least: float = 0.40) -> DataFrame:
-    """``(query_id, vec_id, similarity)``: the corpus vector with the largest dot product for each query, if it reaches ``least``.
+    """``(query_id, vec_id, similarity)``: the other corpus vector with the largest dot product for each query, if it reaches ``least``.
 
-    Vectors are taken as normalised. Queries meet the corpus in blocks of one block id a side, so the product is
-    spread over the cluster; only the best of each block is kept before the shuffle.
+    Vectors are taken as normalised; of equal ones the smallest id wins. Queries and corpus are cut into blocks of bounded size by a
+    hash of their ids, each task multiplies one block of queries with one block of the corpus, and only the best of a query in a block goes on.
+    Rows without a vector take no part.
     """
-    q = queries.select("query_id", F.col("embedding").alias("a"))
-    c = corpus.select("vec_id", F.col("embedding").alias("b"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = c.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, 6).alias("similarity"))
-    best = scored.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("vec_id")).alias("v"))).alias("m"))
-    return best.select("query_id", (-F.col("m.v")).alias("vec_id"), F.col("m.similarity").alias("similarity")).where(F.col("similarity") >= least)
+    q = queries.where("query_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("query_id").cast("bigint").alias("id"), "embedding")
+    c = corpus.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("bigint").alias("id"), "embedding")
+    nq, nc = (max(1, -(-2 * df.count() // BLOCK)) for df in (q, c))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select("id", "embedding", block(nq).alias("qb"), every(nc).alias("cb"))
+    right = c.select("id", "embedding", every(nq).alias("qb"), block(nc).alias("cb"))
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        b = b.sort_values("id", kind="stable")
+        x, y = (np.array(df["embedding"].tolist(), dtype="float64") for df in (a, b))
+        s = np.round(x @ y.T, 6)
+        ids = b["id"].to_numpy()
+        s[a["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+        at = s.argmax(1)
+        return pd.DataFrame({"query_id": a["id"].to_numpy(), "vec_id": ids[at], "similarity": s[np.arange(len(at)), at]})
+
+    best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(product, "query_id bigint, vec_id bigint, similarity double")
+    top = best.where(F.col("similarity") >= least).groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("vec_id")).alias("v"))).alias("m"))
+    return top.select("query_id", (-F.col("m.v")).alias("vec_id"), F.col("m.similarity").alias("similarity"))
