@@ -28,6 +28,7 @@ from pyspark.sql.window import Window as W
 
 from attesta.llm.bpe import token_count
 from attesta.operators.durable import durable
+from attesta.operators.spread import spread
 
 MOST_SOURCES = 10_000
 SHARD_DOCS = 50_000
@@ -60,7 +61,7 @@ def sainte_lague(weights: Sequence[float], seats: int, limits: Sequence[int] | N
 
 def sized(docs: DataFrame) -> DataFrame:
     """``(doc_id, source, tokens)`` of the documents that have tokens."""
-    return durable(docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens")).where("tokens > 0"))
+    return durable(spread(docs.select("doc_id", "source", "text")).select("doc_id", "source", token_count(F.col("text")).alias("tokens")).where("tokens > 0"))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:

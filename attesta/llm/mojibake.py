@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.operators.durable import durable
+from attesta.operators.spread import spread
 
 # Codecs that occur in the wild, as what a text was written in and what it was read as.
 WRITTEN = ("utf-8", "cp1251", "koi8-r", "iso8859-2", "cp1250", "cp1252", "cp866", "mac_cyrillic")
@@ -334,7 +335,7 @@ def learn(docs: DataFrame) -> Learned:
     """What the twins of ``docs`` (``text``) teach about the whole corpus."""
     total = docs.count()
     floor = max(LEAST_TEXTS, total // RARE)
-    texts = docs.select("text").where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    texts = spread(docs.select("text")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
     pieces = durable(
         texts.mapInPandas(_words, "kind string, left string, piece string, n bigint")
         .groupBy("kind", "left", "piece").agg(F.sum("n").alias("n"))
@@ -387,4 +388,4 @@ def restored(docs: DataFrame, id_col: str = "doc_id", known: Learned | None = No
                         rows.append((i, out))
             yield pd.DataFrame(rows, columns=["id", "restored"]).astype({"id": "int64"})
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), "text").mapInPandas(run, "id bigint, restored string").withColumnRenamed("id", id_col)
+    return spread(docs.select(F.col(id_col).cast("bigint").alias("id"), "text")).mapInPandas(run, "id bigint, restored string").withColumnRenamed("id", id_col)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import bpe, cutoffs, entities, mixing, mojibake, names, skeletons, spellings, survivors
+from attesta.operators.spread import spread
 from attesta.sources.tables import table
 
 _FIELDS = {"doi": spellings.canonical_doi, "url": spellings.canonical_url}
@@ -61,7 +62,7 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators.durable import durable
 from attesta.operators.skew import hot_keys, salted_lookup
+from attesta.operators.spread import spread
 
 # Letters of other scripts that are drawn like Latin letters, each followed by its prototype.
 LOOK_ALIKE = (
@@ -95,7 +96,7 @@ def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def prints(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """``(field, rid, k1, k2, exact)``: 128 bits of each text's skeleton and 64 of the text itself."""
-    cells = df.select(
+    cells = spread(df.select(id_col, *[f for f in fields if f != id_col])).select(
         F.col(id_col).cast("bigint").alias("rid"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("c"),
     ).select("c.field", "rid", "c.text").where(F.col("text").isNotNull() & (F.col("text") != ""))
@@ -137,7 +138,7 @@ def normalised(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     def form(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else normal_form(t))
 
-    cells = df.select(
+    cells = spread(df.select(id_col, *[f for f in fields if f != id_col])).select(
         F.col(id_col).cast("bigint").alias("rid"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("c"),
     )
