@@ -277,7 +277,7 @@ def _unquoted(text: str, spans: list, starts: list, found: list, known: Learned)
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Distinct pieces with non-ASCII characters, with their remains and number of texts.
 
-    Kinds: w, words; s, sentences mostly of such characters; t, these sentences without their numbers and names, where
+    Kinds: w, words; x, tokens without any ASCII character, whose remains are the words around them; s, sentences mostly of such characters; t, these sentences without their numbers and names, where
     the remains keep the places of the characters taken out; u, the same with one place for each run.
     """
     for pdf in batches:
@@ -286,11 +286,15 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if text is None or text.isascii():
                 continue
             seen = set()
-            for t in text.split():
+            ts = text.split()
+            for i, t in enumerate(ts):
                 if not t.isascii():
                     g = t.strip(_EDGE)
                     if g:
                         seen.add(("w", g))
+                        if not any(c.isascii() for c in g):
+                            around = _plain(ts[i - 1] if i else "") + "|" + _plain(ts[i + 1] if i + 1 < len(ts) else "")
+                            seen.add(("x" + around, g))
             for s in re.split(r"(?<=[.!?。])\s+|\n+", text):
                 high = sum(ord(c) > 127 for c in s)
                 if high * 2 > len(s):
@@ -298,7 +302,7 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     bare = _LATIN.sub("X", _DIGITS.sub("9", s))
                     seen |= {("t", bare), ("u", bare)}
             n.update(seen)
-        rows = [(k, _ONE.sub("□", p) if k == "t" else _RUN.sub("□" if k == "u" else "", p), p, c) for (k, p), c in n.items()]
+        rows = [(k[:1], k[1:] if k[0] == "x" else _ONE.sub("□", p) if k == "t" else _RUN.sub("□" if k == "u" else "", p), p, c) for (k, p), c in n.items()]
         yield pd.DataFrame(rows, columns=["kind", "left", "piece", "n"]).astype({"n": "int64"})
 
 
@@ -341,7 +345,7 @@ def learn(docs: DataFrame) -> Learned:
         .groupBy("kind", "left", "piece").agg(F.sum("n").alias("n"))
     )
     letters_left = F.length(F.regexp_replace("left", "[^A-Za-z0-9]", ""))
-    usable = pieces.where(F.when(F.col("kind") == "t", F.length("left") >= 20).when(F.col("kind") == "u", F.length("left") >= 8).otherwise(letters_left >= F.when(F.col("kind") == "w", 2).otherwise(6)))
+    usable = pieces.where(F.when(F.col("kind") == "t", F.length("left") >= 20).when(F.col("kind") == "u", F.length("left") >= 8).otherwise(letters_left >= F.when(F.col("kind") == "w", 1).when(F.col("kind") == "x", 4).otherwise(6)))
     clean = usable.groupBy("kind", "left").agg(F.max_by("piece", F.struct("n", F.negative(F.length("piece")))).alias("clean"), F.max("n").alias("most"), F.count("*").alias("forms")).where("forms > 1")
     twins = usable.join(clean, ["kind", "left"]).where("piece <> clean").select("clean", "piece", F.expr("n = most").alias("tie"))
     runs = (
