@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from attesta.functions import lexicon as lx
 from attesta.functions.identity import url_host
@@ -84,7 +83,3 @@ def relevant(df: DataFrame, topic: Column, least: int, stop, scope: list[str]) -
     hits = F.size(F.filter(words, lambda w: F.contains(text, w)))
     return keep_all_if_none(df, hits >= F.least(F.lit(least), F.size(words)), scope)
 
-
-def rank_in(df: DataFrame, scope: list[str], order: list) -> DataFrame:
-    """``rank`` of each row in its scope."""
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*scope).orderBy(*order)))

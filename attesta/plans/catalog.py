@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.plans import core, sql
+from attesta.plans import core, intake, sql
 
 FLAGSHIP = core.c_consensus
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(core.Q)
+    return core.Q | intake.Q
 
 
 def oracle() -> dict[str, str]:
-    return dict(sql.SQL)
+    return sql.SQL | intake.SQL

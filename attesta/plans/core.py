@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from attesta.functions import identity as idy
 from attesta.functions import lexicon as lx
 from attesta.functions import quotes, text as tx
-from attesta.operators import citations, consensus, lookup, ordered, registry, retrieval, scorecard, trust, verdicts
+from attesta.operators import citations, consensus, lookup, ordered, ranked, registry, retrieval, scorecard, trust, verdicts
 from attesta.plans import render
 from attesta.sources.cache import fresh
 from attesta.sources.tables import table
@@ -134,8 +134,10 @@ def t_inverted_index(s, d):
 
 @query
 def t_title_overlap(s, d):
-    a = _sources(s, d).select("run_id", "pos", tx.words(F.coalesce("title", F.lit(""))).alias("a"), F.lag("title").over(W.partitionBy("run_id").orderBy("pos")).alias("before"))
-    return a.select("run_id", "pos", F.round(tx.jaccard(F.col("a"), tx.words(F.coalesce("before", F.lit("")))), 6).alias("overlap"))
+    x = ranked.with_rank(_sources(s, d).select("run_id", "pos", tx.words(F.coalesce("title", F.lit(""))).alias("a")), ["run_id"], ["pos"])
+    before = x.select("run_id", (F.col("rank") + 1).alias("rank"), F.col("a").alias("b"))
+    a = x.join(before, ["run_id", "rank"], "left")
+    return a.select("run_id", "pos", F.round(tx.jaccard(F.col("a"), F.coalesce("b", F.array().cast("array<string>"))), 6).alias("overlap"))
 
 
 # trust
@@ -150,7 +152,7 @@ def s_tiers(s, d):
 @query
 def s_tier_ranks(s, d):
     x = _sources(s, d).withColumn("u", _web_url()).withColumn("tier", trust.tier(F.col("u"), F.col("title"), F.col("content")).cast("bigint"))
-    return trust.rank_in(x, ["run_id"], ["tier", "pos"]).select("run_id", "rec_id", "tier", F.col("rank").cast("bigint").alias("rank"))
+    return ranked.with_rank(x.select("run_id", "rec_id", "tier", "pos"), ["run_id"], ["tier", "pos"]).select("run_id", "rec_id", "tier", "rank")
 
 
 @query
@@ -284,17 +286,16 @@ def j_unverified(s, d):
 
 @query
 def j_batches(s, d):
-    x = _evidence(s, d)
-    n = F.row_number().over(W.partitionBy("source_key").orderBy("item_id"))
-    return x.select("item_id", "source_key", F.floor((n - 1) / 5).alias("batch"))
+    x = ranked.with_rank(_evidence(s, d).select("item_id", "source_key"), ["source_key"], ["item_id"])
+    return x.select("item_id", "source_key", F.floor((F.col("rank") - 1) / 5).alias("batch"))
 
 
 @query
 def j_merged_providers(s, d):
     """Sources of all providers in a fixed order of priority, then by place."""
     rank = F.when(F.col("source") == "Semantic Scholar", 0).when(F.col("source") == "OpenAlex", 1).when(F.col("source") == "Crossref", 2).otherwise(3)
-    x = _sources(s, d).withColumn("prio", rank)
-    return x.select("run_id", "rec_id", F.row_number().over(W.partitionBy("run_id").orderBy("prio", "pos")).cast("bigint").alias("place"))
+    x = _sources(s, d).select("run_id", "rec_id", "pos", rank.alias("prio"))
+    return ranked.with_rank(x, ["run_id"], ["prio", "pos"], "place").select("run_id", "rec_id", "place")
 
 
 @query
@@ -327,9 +328,10 @@ def a_quality_audit(s, d):
 def a_claim_buckets(s, d):
     x = lookup.last_label(_evidence(s, d), table(s, d, "verdicts"), "verdict_id").where("source_key <> '' AND claim <> ''")
     firsts = x.groupBy("source_key", F.upper(F.coalesce("label", F.lit("UNVERIFIED"))).alias("label"), "claim").agg(F.min("item_id").alias("i"))
-    ranked = firsts.withColumn("rn", F.row_number().over(W.partitionBy("source_key", "label").orderBy("i")))
-    return ranked.groupBy("source_key", "label").agg(
-        F.count("*").alias("claims"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= 3, F.struct("rn", "claim")))), lambda v: v["claim"]), " / ").alias("shown"))
+    firsts = ordered.durable(firsts)
+    few = ordered.first_wins(firsts, ["source_key", "label"], ["i"], 3).groupBy("source_key", "label").agg(F.array_sort(F.collect_list(F.struct("i", "claim"))).alias("few"))
+    n = firsts.groupBy("source_key", "label").agg(F.count("*").alias("claims"))
+    return n.join(few, ["source_key", "label"]).select("source_key", "label", "claims", F.array_join(F.transform("few", lambda v: v["claim"]), " / ").alias("shown"))
 
 
 @query
