@@ -100,7 +100,7 @@ def retraction_reason(openalex: Column, crossref: Column) -> Column:
 def gap_and_query(answer: Column, topic: Column) -> Column:
     """``gap`` and ``query`` of an answer's last lines of each kind; a query of one or two words gets the topic's first three long words before it."""
     lines = F.split(answer, "\n")
-    last = lambda mark: strip(F.substring(F.coalesce(F.element_at(F.filter(lines, lambda x: F.startswith(x, F.lit(mark))), -1), F.lit(mark)), len(mark) + 1, 1_000_000))
+    last = lambda mark: strip(F.substring(F.coalesce(F.try_element_at(F.filter(lines, lambda x: F.startswith(x, F.lit(mark))), F.lit(-1)), F.lit(mark)), len(mark) + 1, 1_000_000))
     key = F.array_join(F.slice(F.filter(F.split(one_line(topic), " "), lambda w: F.length(w) > 3), 1, 3), " ")
     anchored = let(last("QUERY:"), lambda q: F.when((q != "") & (F.size(F.split(one_line(q), " ")) <= 2), F.concat(key, F.lit(" "), q)).otherwise(q))
     return F.struct(last("GAP:").alias("gap"), anchored.alias("query"))

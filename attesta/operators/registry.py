@@ -25,7 +25,7 @@ def authors_overlap(a: Column, b: Column) -> Column:
     """Whether two author lists share a family name: NULL if one is empty, false if the first authors differ."""
     names = lambda x: F.filter(F.transform(x, _family), lambda n: n != "")
     na, nb = names(a), names(b)
-    fa, fb = _family(F.element_at(a, 1)), _family(F.element_at(b, 1))
+    fa, fb = _family(F.get(a, F.lit(0))), _family(F.get(b, F.lit(0)))
     return (
         F.when((F.size(na) <= 0) | (F.size(nb) <= 0) | a.isNull() | b.isNull(), None)
         .when((fa != "") & (fb != "") & (fa != fb), False)

@@ -15,7 +15,7 @@ NEGATIONS = ("not", "no", "never", "neither", "without", "nor", "cannot", "faile
 
 def interpret(scores: Column, threshold: float) -> Column:
     """Label and score of a model's output ``array<struct<label,score>>``: the best label, NEUTRAL if it is unknown or too weak."""
-    best = F.element_at(F.array_sort(scores, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0)), 1)
+    best = F.get(F.array_sort(scores, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0)), F.lit(0))
     raw = F.upper(best["label"])
     label = F.when(raw.isin(*LABELS[:3]), raw)
     for k, v in BY_NUMBER.items():
