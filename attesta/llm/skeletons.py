@@ -119,16 +119,17 @@ def classes(p: DataFrame) -> DataFrame:
 def pairs(p: DataFrame) -> DataFrame:
     """``(field, first_id, second_id)``: each two rows whose texts look the same and are not the same string.
 
-    The rows of a class are grouped by their exact text first, so rows of one text never meet; a text that has a large
-    part of all rows is spread over salted parts when it meets the other texts of its class.
+    The distinct texts of a class meet, and only then the rows of two texts: rows of one text never do, so no pair is made
+    that is not a result. The rows of a text that has a large part of all rows are spread over salted parts.
     """
-    c = durable(classes(p))
-    sizes = c.groupBy("field", "class_id").agg(F.count("*").alias("n")).withColumn("key", F.xxhash64("field", "class_id"))
-    hot = hot_keys(sizes.select("key", "n"), "key")
-    left = c.withColumn("key", F.xxhash64("field", "class_id"))
-    right = left.select("key", F.col("class_id").alias("class2"), F.col("field").alias("field2"), F.col("rid").alias("rid2"), F.col("exact").alias("exact2"))
-    both = salted_lookup(left, right, "key", hot, "rid").where((F.col("class_id") == F.col("class2")) & (F.col("field") == F.col("field2")))
-    return both.where("rid < rid2 and exact <> exact2").select("field", F.col("rid").alias("first_id"), F.col("rid2").alias("second_id"))
+    c = classes(p).select("field", "rid", F.xxhash64("field", "class_id").alias("c"), F.xxhash64("field", "class_id", "exact").alias("t"))
+    c = durable(c)
+    texts = durable(c.groupBy("c", "t").agg(F.count("*").alias("n")))
+    hot = hot_keys(texts, "t")
+    met = texts.select("c", "t").join(texts.select("c", F.col("t").alias("t2")), "c").where("t < t2").select("t", "t2")
+    one = salted_lookup(c.select("t", "rid", "field"), met, "t", hot, "rid").select("t2", "rid", "field")
+    both = salted_lookup(c.select(F.col("t").alias("t2"), F.col("rid").alias("rid2")), one, "t2", hot, "rid2")
+    return both.select("field", F.least("rid", "rid2").alias("first_id"), F.greatest("rid", "rid2").alias("second_id"))
 
 
 def normalised(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
