@@ -10,7 +10,7 @@ from attesta.functions.identity import canonical_id, source_key
 from attesta.functions.text import latin_terms, strip, words
 from attesta.operators.durable import durable
 from attesta.operators.lookup import last_label
-from attesta.operators.ordered import first_wins, greedy_first_wins, similar_pairs
+from attesta.operators.ordered import alike_first_wins, first_wins, greedy_first_wins
 from attesta.operators.retrieval import best_passages, prefilter
 from attesta.operators.verdicts import rule_label
 
@@ -32,10 +32,7 @@ def core_claims(evidence: DataFrame, verdicts: DataFrame, most: int = 5, alike:
     """
     labelled = last_label(evidence, verdicts, "verdict_id")
     good = labelled.where((F.col("label") == "ENTAILMENT") & (strip(F.coalesce("claim", F.lit(""))) != "") & is_relevant(F.col("claim")))
-    good = durable(good)
-    # equal claims of a run are alike; only their first goes on, so that the pairs stay few
-    firsts = durable(first_wins(good.withColumn("__w", F.array_sort(words(F.col("claim")))), ["run_id", "__w"], ["item_id"]))
-    kept = greedy_first_wins(firsts, "item_id", similar_pairs(firsts, ["run_id"], "item_id", "__w", alike))
+    kept = alike_first_wins(durable(good.withColumn("__w", words(F.col("claim")))), ["run_id"], "item_id", "__w", alike)
     return first_wins(kept, ["run_id"], ["item_id"], most).drop("__w")
 
 

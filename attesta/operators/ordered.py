@@ -62,3 +62,16 @@ def greedy_first_wins(df: DataFrame, id_col: str, edges: DataFrame, rounds: int
     if dropped is None:
         return df
     return df.join(dropped.distinct(), df[id_col] == F.col("id"), "left_anti")
+
+
+def alike_first_wins(df: DataFrame, scope: Sequence[str], order: str, tokens: str, threshold: float) -> DataFrame:
+    """The rows of each scope that a pass in ``order`` keeps if a row like a kept earlier one is dropped; rows without tokens are like no other.
+
+    Rows with equal token sets are like the same rows, so only their first can stay; the others go before pairs are made,
+    and a set that a large part of the rows has costs one aggregate. ``order`` is unique over all scopes.
+    """
+    x = df.withColumn("__set", F.array_sort(F.array_distinct(tokens)))
+    none, some = x.where(F.size("__set") <= 0), x.where(F.size("__set") > 0)
+    firsts = durable(first_wins(some, [*scope, "__set"], [order]))
+    kept = greedy_first_wins(firsts, order, similar_pairs(firsts, scope, order, "__set", threshold))
+    return kept.unionByName(none).drop("__set")

@@ -216,7 +216,7 @@ def d_academic(s, d):
     x = ordered.first_wins_if_given(x, idy.dedup_doi(F.col("doi")), ["run_id"], ["pos"])
     x = ordered.first_wins_if_given(x, F.lower(tx.strip(F.coalesce("url", F.lit("")))), ["run_id"], ["pos"])
     x = ordered.durable(x.withColumn("o", F.struct("run_id", "pos")).withColumn("t", F.filter(F.split(tx.title_form(F.col("title")), " "), lambda w: w != "")))
-    return ordered.greedy_first_wins(x, "o", ordered.similar_pairs(x, ["run_id"], "o", "t", 0.85)).select("run_id", "rec_id")
+    return ordered.alike_first_wins(x, ["run_id"], "o", "t", 0.85).select("run_id", "rec_id")
 
 
 # joins

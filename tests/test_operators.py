@@ -61,6 +61,8 @@ def test_greedy_dedup_is_the_pass_in_order(spark, seed):
     df = spark.createDataFrame([(g, i, t) for g in ("x", "y") for i, t in rows], "g string, i int, t array<string>").withColumn("o", F.struct("g", "i"))
     out = ordered.greedy_first_wins(df, "o", ordered.similar_pairs(df, ["g"], "o", "t", 0.6))
     assert sorted(r.i for r in out.where("g = 'x'").collect()) == _greedy(rows, 0.6)
+    out = ordered.alike_first_wins(df, ["g"], "o", "t", 0.6)
+    assert sorted(r.i for r in out.where("g = 'y'").collect()) == _greedy(rows, 0.6)
 
 
 def test_salted_lookup_loses_and_doubles_nothing(spark):
