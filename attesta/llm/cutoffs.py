@@ -1,15 +1,18 @@
 """Texts whose end is missing.
 
-Word trigrams are counted inside texts and at their ends, over all texts, in SQL. The final trigram of a text is joined
-to these counts: an ending that is frequent inside texts but almost never their end was left there by a cut, an
-ending that mostly ends texts is the author's. What a text closes with is checked after that: sentence marks and
-closing quotation marks, keyword lines, registration numbers, addresses and bracketed remarks are ends whatever
-the counts say, while dropped-text marks, opening brackets, commas and damaged characters are not.
+What a text closes with is looked at first: sentence marks and closing quotation marks, keyword lines, registration numbers,
+addresses and bracketed remarks are ends, while dropped-text marks, opening brackets, commas, broken character references and
+damaged characters are not.
+An ending without such a mark is decided by counts over all distinct texts, in SQL: how often its last three words end a
+text, and how often the same words go on, in a longer last word (a cut inside a word), a mark or further words. What
+mostly goes on was left there by a cut, what mostly ends texts is the author's. Three words seen too rarely to
+tell give way to the last two, these to the last one; an ending of which even the last word is too rare has nothing that
+speaks for it and is a cut.
 
 Defined cases
     NULL, empty and blank texts are no texts: they are never cut and not counted in shares. Texts of one or two words
-    have a final trigram padded at its front. Exact copies of a text count once in the trigram statistics, all of them are
-    reported. Sources that are NULL form one group. Texts are read whole.
+    have their last words padded at the front. Exact copies of a text count once in the statistics, all of them are
+    reported. Sources that are NULL form one group. Words count by their first characters (``WORD``), figures as one figure.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ from attesta.operators.durable import durable
 # Abbreviations that end in a dot without ending a sentence.
 ABBREVIATIONS = ("e.g.", "i.e.", "cf.", "vs.", "fig.", "figs.", "eq.", "eqs.", "ref.", "refs.", "approx.", "no.", "z.b.", "d.h.", "p.ej.", "resp.")
 
-#: An unmarked ending is the author's if at least so many distinct texts end so, and this share of all texts ...
+#: The last words of an unmarked ending decide if they occur at least so often in distinct texts ...
 LEAST_ENDS = 20
-TEXT_SHARE = 0.001
-#: ... and they are at least this share of all its occurrences.
+#: ... and are the author's end if at least this share of all their occurrences ends a text.
 END_SHARE = 0.5
+#: Words count by so many first characters.
+WORD = 24
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
@@ -56,61 +60,83 @@ def _sql(text: str, **frames: DataFrame) -> DataFrame:
             spark.catalog.dropTempView(view)
 
 
-#: An ending is judged by so many last characters of its text: its final words, marks and closing line. Counts use whole texts.
+#: An ending is judged by so many last characters of its text: its marks and closing line. Counts use whole texts.
 TAIL = 1000
 
-# What the end of a text says by itself: 1 (cut), 0 (complete), 2 (it has no mark), 3 (no visible character).
+# Each distinct text once, in its normal form.
+_FORMS = f"""
+SELECT t, trim(regexp_replace(lower(translate(regexp_replace(body, '{_UNSEEN}', ''), {_quoted(_FROM)}, {_quoted(_TO)})), '{_SPACES}', ' ')) AS txt
+FROM (SELECT xxhash64(body) AS t, any_value(body) AS body FROM {{texts}} WHERE body IS NOT NULL GROUP BY xxhash64(body))
+"""
+
+# What the end of a text says by itself: 1 (cut), 0 (complete), 2 (it has no mark), 3 (no visible character); and its last three words.
 _ENDS = f"""
-SELECT part, rid, source, said, xxhash64(get(w, size(w) - 3), get(w, size(w) - 2), w[size(w) - 1]) AS g, t
+SELECT t, said, w, left(coalesce(get(w, size(w) - 3), ''), {WORD}) AS a, left(coalesce(get(w, size(w) - 2), ''), {WORD}) AS b, left(w[size(w) - 1], {WORD}) AS c
 FROM (
-  SELECT part, rid, source, t, split(regexp_replace(txt, '[0-9]+', '9'), ' ') AS w,
+  SELECT t, split(regexp_replace(txt, '[0-9]+', '9'), ' ') AS w,
     CASE
-      WHEN coalesce(txt, '') = '' THEN 3
-      WHEN txt RLIKE '(…|\\\\.\\\\.+|\\\\[\\\\.*\\\\]|\\\\(\\\\.*\\\\)|[�(\\\\[{{,;:<«„“-])$' THEN 1
-      WHEN txt RLIKE '(keywords?: ?[^.!?]*|[a-z]{{2,}}-[0-9]{{3,}}|https?://[^ ]+|\\\\([^()]*\\\\)|\\\\[[^\\\\[\\\\]]*\\\\])$' THEN 0
-      WHEN substring_index(txt, ' ', -1) IN ({", ".join(_quoted(x) for x in ABBREVIATIONS)}) THEN 1
-      WHEN txt RLIKE '[.!?。！？][\\\\])"”»’\\']*$' THEN 0
-      WHEN txt RLIKE '[”"»]$' THEN 0
+      WHEN txt = '' THEN 3
+      WHEN tail RLIKE '(…|\\\\.\\\\.+|\\\\[\\\\.*\\\\]|\\\\(\\\\.*\\\\)|[�(\\\\[{{,;:<«„“-]|(^| )&[a-z]{{0,5}})$' THEN 1
+      WHEN tail RLIKE '(keywords?: ?[^.!?]*|[a-z]{{2,}}-[0-9]{{3,}}|https?://[^ ]+|\\\\([^()]*\\\\)|\\\\[[^\\\\[\\\\]]*\\\\])$' THEN 0
+      WHEN substring_index(tail, ' ', -1) IN ({", ".join(_quoted(x) for x in ABBREVIATIONS)}) THEN 1
+      WHEN tail RLIKE '[.!?。！？][\\\\])"”»’\\']*$' THEN 0
+      WHEN tail RLIKE '[”"»]$' THEN 0
       ELSE 2
     END AS said
-  FROM (
-    SELECT part, rid, source, xxhash64(body) AS t,
-           trim(regexp_replace(lower(translate(regexp_replace(right(body, {TAIL}), '{_UNSEEN}', ''), {_quoted(_FROM)}, {_quoted(_TO)})), '{_SPACES}', ' ')) AS txt
-    FROM (SELECT part, rid, source, rtrim(regexp_replace(body, '{_SPACES}$', '')) AS body FROM {{texts}})
-  )
+  FROM (SELECT t, txt, right(txt, {TAIL}) AS tail FROM {{forms}})
 )
 """
 
-# How often each trigram stands inside texts; the last one of a text is left out.
-_INSIDE = """
-SELECT g, count(*) AS inside
+# How often each three words stand in a row, the last ones of a text and the padded first ones with them.
+_GRAMS = f"""
+SELECT g.a, g.b, g.c, count(*) AS n
 FROM (
-  SELECT explode(CASE WHEN size(w) > 3 THEN transform(sequence(1, size(w) - 3), i -> xxhash64(w[i - 1], w[i], w[i + 1])) END) AS g
-  FROM (SELECT split(regexp_replace(lower(body), '[0-9]+', '9'), ' ') AS w FROM {texts})
+  SELECT explode(transform(w, (x, i) -> struct(left(IF(i > 1, w[i - 2], ''), {WORD}) AS a, left(IF(i > 0, w[i - 1], ''), {WORD}) AS b, left(x, {WORD}) AS c))) AS g
+  FROM {{ends}} WHERE said < 3
 )
-GROUP BY g
+GROUP BY g.a, g.b, g.c
 """
 
-_OPEN = "SELECT g, count(DISTINCT t) AS ends FROM {ends} WHERE said = 2 GROUP BY g"
+# For the last three, two and one words of the endings without a mark: how many texts end so, and how often the same words go on.
+_LEVELS = """
+SELECT o.level, o.k, o.ends, coalesce(p.n, 0) - o.ends AS inside
+FROM (SELECT level, k, count(*) AS ends FROM {open} LATERAL VIEW posexplode(array(xxhash64(1, c), xxhash64(2, b, c), xxhash64(3, a, b, c))) AS level, k GROUP BY level, k) o
+LEFT JOIN (
+  SELECT k, sum(n) AS n
+  FROM (
+    SELECT n, explode(flatten(transform(sequence(1, greatest(length(c), 1)), i -> array(xxhash64(1, left(c, i)), xxhash64(2, b, left(c, i)), xxhash64(3, a, b, left(c, i)))))) AS k
+    FROM {grams}
+  )
+  GROUP BY k
+) p ON o.k = p.k
+"""
+
+# The longest last words that occur often enough.
+_BEST = f"""
+SELECT t, max_by(struct(inside, ends), level) AS m
+FROM (SELECT t, explode(array(xxhash64(1, c), xxhash64(2, b, c), xxhash64(3, a, b, c))) AS k FROM {{open}}) e JOIN {{levels}} l ON e.k = l.k
+WHERE l.ends + l.inside >= {LEAST_ENDS}
+GROUP BY t
+"""
 
 _VERDICT = f"""
-SELECT part, rid, source, said = 1 AS cut, CAST(NULL AS bigint) AS inside, CAST(NULL AS bigint) AS ends FROM {{ends}} WHERE said < 2
-UNION ALL
-SELECT part, rid, source, NOT (c.ends >= {LEAST_ENDS} AND c.ends >= {TEXT_SHARE} * (SELECT count(*) FROM {{ends}}) AND c.ends >= {END_SHARE} * (c.ends + coalesce(i.inside, 0))) AS cut, coalesce(i.inside, 0) AS inside, c.ends
-FROM (SELECT * FROM {{ends}} WHERE said = 2) e
-JOIN {{open}} c ON e.g = c.g
-LEFT JOIN {{inside}} i ON e.g = i.g
+SELECT x.part, x.rid, x.source, CASE e.said WHEN 2 THEN coalesce(b.m.ends < {END_SHARE} * (b.m.ends + b.m.inside), true) ELSE e.said = 1 END AS cut, b.m.inside, b.m.ends
+FROM (SELECT part, rid, source, xxhash64(body) AS t FROM {{texts}} WHERE body IS NOT NULL) x
+JOIN (SELECT t, said FROM {{ends}} WHERE said < 3) e ON x.t = e.t
+LEFT JOIN {{best}} b ON e.t = b.t
 """
 
 
 def verdicts(texts: DataFrame) -> DataFrame:
     """``(part, rid, source, cut, inside, ends)`` for each text that has a visible character.
 
-    ``texts`` has ``(part, rid, source, body)``; for an ending without a mark ``inside`` and ``ends`` say how often its
-    trigram occurs inside texts and in how many distinct texts at the end.
+    ``texts`` has ``(part, rid, source, body)``. For an ending without a mark ``inside`` and ``ends`` say how often the last words
+    that decide go on and how often they end a distinct text; both are NULL if even the last word is too rare.
     """
-    ends = durable(_sql(_ENDS, texts=texts))
-    return _sql(_VERDICT, ends=ends, open=_sql(_OPEN, ends=ends), inside=_sql(_INSIDE, texts=texts))
+    ends = durable(_sql(_ENDS, forms=_sql(_FORMS, texts=texts)))
+    open_ends = ends.where("said = 2").select("t", "a", "b", "c")
+    levels = _sql(_LEVELS, open=open_ends, grams=_sql(_GRAMS, ends=ends))
+    return _sql(_VERDICT, texts=texts, ends=ends, best=_sql(_BEST, open=open_ends, levels=levels))
 
 
 def shares(v: DataFrame) -> DataFrame:

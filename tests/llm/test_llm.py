@@ -94,6 +94,20 @@ def test_an_unmarked_ending_that_many_texts_share_is_no_cut(spark):
     assert not any(got[i] for i in range(40)) and got[99]
 
 
+def test_unmarked_endings_are_decided_by_how_often_they_go_on(spark):
+    texts = [f"Text number {i} of {'abcdefghij'[i % 10] * (i // 10 + 1)} says a thing. Signed by the board" for i in range(30)]
+    texts += [f"In {'abcdefghij'[i % 10] * (i // 10 + 1)} the drift was lowered by the model in spring." for i in range(3000)][:1500]
+    cut = ["Word one: the drift was lowered by the model", "Word two: the drift was low", "In a case never seen the drift"] + [f"In {'klmnop'[i % 6] * (i // 6 + 1)} the drift was lowered by the mod" for i in range(25)]
+    df = spark.createDataFrame([("t", i, "s", x) for i, x in enumerate(texts + cut)] + [("t", 9000 + i, "s", cut[0]) for i in range(3000)], "part string, rid bigint, source string, body string")
+    got = {r.rid: r for r in cutoffs.verdicts(df).collect()}
+    assert len(got) == len(texts) + len(cut) + 3000 and not any(got[i].cut for i in range(len(texts)))
+    assert all(got[i].cut for i in got if i >= len(texts))
+    assert got[0].inside == 0 and got[0].ends == 30 and got[9000].ends == 1 and got[9000].inside == 1500
+    assert all(r.inside > 0 for i, r in got.items() if i >= len(texts))
+    broken = spark.createDataFrame([("t", i, "s", f"In {'abcdefghij'[i % 10] * (i // 10 + 1)} n &lt") for i in range(40)], "part string, rid bigint, source string, body string")
+    assert all(r.cut for r in cutoffs.verdicts(broken).collect())
+
+
 # tokenizer
 
 
