@@ -59,7 +59,8 @@ def assess(claims: DataFrame, sources: DataFrame) -> DataFrame:
     with_text = sources.where(strip(F.coalesce("content", F.lit(""))) != "")
     near = durable(prefilter(claims, with_text, ["run_id"]).join(free, ["run_id", "claim_id", "source_id"]))
     best = best_passages(near, claims, with_text)
-    j = best.join(claims.select("claim_id", "claim"), "claim_id").join(sources.select("source_id", F.coalesce("is_retracted", F.lit(False)).alias("is_retracted")), "source_id")
+    retracted = sources.groupBy("source_id").agg(F.coalesce(F.bool_or("is_retracted"), F.lit(False)).alias("is_retracted"))
+    j = best.join(claims.select("claim_id", "claim"), "claim_id").join(retracted, "source_id")
     return j.withColumn("v", rule_label(F.col("claim"), F.col("passage"))).select("claim_id", "source_id", "passage", "score", F.col("v.label").alias("label"), "is_retracted")
 
 

@@ -37,11 +37,12 @@ def best_passages(pairs: DataFrame, claims: DataFrame, sources: DataFrame, most:
     """``(claim_id, source_id, window, passage, score)``: the two-sentence window of each source that BM25 ranks first for the claim.
 
     The corpus of a source is its own windows. Of equal scores the first window wins; pairs without a common term
-    are left out. Sources are split and counted once, however many claims they meet.
+    are left out. Sources are split and counted once, however many claims they meet and in however many scopes they stand.
     """
+    sources = sources.select("source_id", "content").dropDuplicates(["source_id"])
     terms_of = F.transform(windows(F.col("content")), lambda p: latin_terms(p, 2, "a-z0-9"))
     # from here to the join with the claims everything stays where the source is
-    base = sources.select("source_id", "content").repartition("source_id").select("source_id", terms_of.alias("t"))
+    base = sources.select("source_id", terms_of.alias("t"))
     base = base.select("source_id", F.size("t").alias("n"), F.aggregate("t", F.lit(0), lambda a, x: a + F.size(x)).alias("total"), F.posexplode("t").alias("window", "x"))
     each = base.select("source_id", "n", "total", "window", F.size("x").alias("dl"), F.explode("x").alias("w"))
     tf = each.groupBy("source_id", "n", "total", "window", "dl", "w").agg(F.count("*").alias("tf"))
@@ -56,7 +57,7 @@ def best_passages(pairs: DataFrame, claims: DataFrame, sources: DataFrame, most:
     best = scored.groupBy("claim_id", "source_id").agg(F.max(F.struct("score", (-F.col("window")).alias("w"))).alias("b"))
     best = best.select("claim_id", "source_id", (-F.col("b.w")).alias("window"), F.col("b.score").alias("score")).where("score > 0")
     cut = let(F.get(windows(F.col("content")), F.col("window")), lambda p: F.when(F.length(p) > most, F.concat(F.substring(p, 1, most), F.lit("..."))).otherwise(p))
-    return best.join(sources.select("source_id", "content"), "source_id").select("claim_id", "source_id", "window", cut.alias("passage"), "score")
+    return best.join(sources, "source_id").select("claim_id", "source_id", "window", cut.alias("passage"), "score")
 
 
 #: Vectors of one block; a product of two blocks is a matrix of at most BLOCK x BLOCK numbers.

@@ -481,16 +481,34 @@ def m_reviewed_profiles(s, d):
 # retrieval and consensus
 
 
+#: The scope of evidence from pinned sources. Every run cites these, so such an item belongs to no single run; it is judged once, for all of them.
+PINNED = "pinned"
+
+
+def _with_sources(s, d, e: DataFrame, *cols) -> DataFrame:
+    """``e`` with columns of the record that ``source_id`` names, in academic_sources or pinned_sources; no record is in both.
+
+    A pinned source may hold a tenth of all rows, so the few pinned ones are broadcast and their rows never meet in one task.
+    """
+    key = F.concat(F.lit("source_"), F.col("rec_id").cast("string")).alias("source_id")
+    pinned = F.broadcast(table(s, d, "pinned_sources").withColumn("run_id", F.lit(PINNED)).select(key, *cols))
+    rest = e.join(F.broadcast(pinned.select("source_id")), "source_id", "left_anti")
+    return rest.join(_sources(s, d).select(key, *cols), "source_id").unionByName(e.join(pinned, "source_id"))
+
+
 def _run_evidence(s, d) -> DataFrame:
-    """Evidence with the run, DOI and address of its source; pinned sources belong to no single run."""
-    src = _sources(s, d).select("rec_id", "run_id", F.col("doi").alias("sdoi"), F.col("url").alias("surl"), F.col("title").alias("stitle"))
-    e = _evidence(s, d).withColumn("rec_id", F.regexp_extract("source_id", "source_([0-9]+)", 1).try_cast("bigint"))
-    return e.join(src, "rec_id")
+    """Evidence with the run, DOI and address of its source; items from pinned sources are in the scope ``PINNED``."""
+    return _with_sources(s, d, _evidence(s, d), "rec_id", "run_id", F.col("doi").alias("sdoi"), F.col("url").alias("surl"), F.col("title").alias("stitle"))
 
 
 def _run_sources(s, d) -> DataFrame:
+    """The sources of each run: its own, then the pinned ones, which every run and the scope ``PINNED`` have."""
+    cols = ["rec_id", "run_id", "pos", "doi", "url", "title", "content"]
+    own = _sources(s, d).withColumn("pos", F.col("pos").cast("bigint")).select(*cols)
+    runs = own.select("run_id").where("run_id IS NOT NULL").distinct().unionByName(s.range(1).select(F.lit(PINNED).alias("run_id")))
+    pinned = runs.crossJoin(F.broadcast(table(s, d, "pinned_sources"))).withColumn("pos", F.lit(1 << 40) + F.col("rec_id")).select(*cols)
     p = _latest_profiles(s, d).select("rec_id", "is_retracted")
-    return _sources(s, d).select("rec_id", F.col("rec_id").alias("source_id"), "run_id", "pos", "doi", "url", "title", "content").join(p, "rec_id", "left")
+    return own.join(p, "rec_id", "left").unionByName(pinned.withColumn("is_retracted", F.lit(None).cast("boolean"))).withColumn("source_id", F.col("rec_id"))
 
 
 def _first_claims(s, d) -> DataFrame:
@@ -591,8 +609,7 @@ def z_audit_texts(s, d):
 
 
 def _quoted(s, d) -> DataFrame:
-    src = _sources(s, d).select(F.concat(F.lit("source_"), F.col("rec_id").cast("string")).alias("source_id"), "title", "content")
-    return _evidence(s, d).select("item_id", "source_id", "evidence").join(src, "source_id")
+    return _with_sources(s, d, _evidence(s, d).select("item_id", "source_id", "evidence"), "title", "content")
 
 
 @query
