@@ -511,20 +511,20 @@ def _run_sources(s, d) -> DataFrame:
     return own.join(p, "rec_id", "left").unionByName(pinned.withColumn("is_retracted", F.lit(None).cast("boolean"))).withColumn("source_id", F.col("rec_id"))
 
 
-def _first_claims(s, d) -> DataFrame:
-    x = _run_evidence(s, d).where("claim <> ''")
-    x = ordered.first_wins(x, ["run_id", "claim"], ["item_id"])
-    return ordered.first_wins(x, ["run_id"], ["item_id"], 3).select("run_id", F.col("item_id").alias("claim_id"), "claim")
+def _claims(s, d) -> DataFrame:
+    """Each claim of each run once, by its first item."""
+    x = ordered.first_wins(_run_evidence(s, d).where("claim <> ''"), ["run_id", "claim"], ["item_id"])
+    return x.select("run_id", F.col("item_id").alias("claim_id"), "claim")
 
 
 @query
 def c_prefilter(s, d):
-    return retrieval.prefilter(_first_claims(s, d), _run_sources(s, d), ["run_id"]).select("claim_id", "source_id")
+    return retrieval.prefilter(_claims(s, d), _run_sources(s, d), ["run_id"]).select("claim_id", "source_id")
 
 
 @query
 def c_best_passages(s, d):
-    claims, sources = _first_claims(s, d), _run_sources(s, d).where("content <> ''")
+    claims, sources = _claims(s, d), _run_sources(s, d).where("content <> ''")
     pairs = retrieval.prefilter(claims, sources, ["run_id"])
     return retrieval.best_passages(pairs, claims, sources).select("claim_id", "source_id", F.col("window").cast("bigint").alias("window"), "passage", F.round("score", 4).alias("score"))
 
