@@ -42,6 +42,24 @@ def similar_pairs(df: DataFrame, scope: Sequence[str], id_col: str, tokens: str,
     return met.where(both >= threshold * (F.size("ta") + F.size("tb") - both) - 1e-9).select("earlier", "later")
 
 
+def like_any(left: DataFrame, right: DataFrame, scope: Sequence[str], tokens: str, threshold: float) -> DataFrame:
+    """The ``(scope, tokens)`` of ``left`` whose Jaccard similarity to a token set of ``right`` in the same scope is above ``threshold``.
+
+    Tokens are sets. Equal sets of a scope are compared once, and only those meet that share a token of both prefixes (see ``similar_pairs``).
+    """
+    sides = {n: durable(df.select(*scope, F.array_sort(tokens).alias(n)).where(F.size(n) > 0).distinct()) for n, df in (("a", left), ("b", right))}
+    each = {n: df.select(*scope, n, F.explode(n).alias("w")) for n, df in sides.items()}
+    rare = durable(each["a"].select("w").unionByName(each["b"].select("w")).groupBy("w").agg(F.count("*").alias("n")))
+
+    def prefix(n: str) -> DataFrame:
+        r = each[n].join(rare, "w").groupBy(*scope, n).agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
+        return r.select(*scope, n, F.explode(F.slice(F.transform("r", lambda x: x["w"]), F.lit(1), F.size("r") - F.ceil(F.size("r") * threshold - 1e-9).cast("int") + 1)).alias("w"))
+
+    met = prefix("a").join(prefix("b"), [*scope, "w"])
+    both = F.size(F.array_intersect("a", "b"))
+    return met.where(both / (F.size("a") + F.size("b") - both) > threshold).select(*scope, F.col("a").alias(tokens)).distinct()
+
+
 def greedy_first_wins(df: DataFrame, id_col: str, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """The rows that a pass in id order keeps if a row is dropped for being like a kept earlier one.
 

@@ -274,9 +274,9 @@ def j_new_works(s, d):
 
 @query
 def j_invented_dois(s, d):
-    x = _sources(s, d)
-    texts = x.where("pos % 3 = 0").select("run_id", F.concat(F.coalesce("title", F.lit("")), F.lit(" see "), F.coalesce("doi", F.lit("")), F.lit(".")).alias("t"))
-    return citations.invented_dois(texts, x.where("pos % 3 <> 0"), "run_id", "t").distinct()
+    """Every item of evidence with the DOI it is given against all sources of its run."""
+    texts = _run_evidence(s, d).select("run_id", F.concat(F.coalesce("evidence", F.lit("")), F.lit(" see "), F.coalesce("doi", F.lit("")), F.lit(".")).alias("t"))
+    return citations.invented_dois(texts, _run_sources(s, d), "run_id", "t").distinct()
 
 
 @query
@@ -300,14 +300,12 @@ def j_merged_providers(s, d):
 
 @query
 def j_valid_gaps(s, d):
-    """Proposals that are long enough and like no source title of their run."""
-    x = _sources(s, d)
-    props = x.where("pos <= 3 AND title <> ''").select("run_id", "rec_id", F.concat_ws(" ", F.lit("extending"), F.col("title")).alias("title"), F.col("content").alias("gap"))
-    ok = F.size(F.filter(F.split(tx.strip(F.coalesce("gap", F.lit(""))), r"\s+"), lambda w: w != "")) >= 8
-    props = props.where(ok)
-    t = x.where("title <> ''").select("run_id", F.col("rec_id").alias("other"), tx.words(F.col("title")).alias("b"))
-    like = props.select("run_id", "rec_id", tx.words(F.col("title")).alias("a")).join(t, "run_id").where(tx.jaccard(F.col("a"), F.col("b")) > 0.65).select("rec_id")
-    return props.join(like, "rec_id", "left_anti").select("rec_id")
+    """Proposals, one a titled source, that are long enough and like no source title of their run."""
+    x = _sources(s, d).where("title <> ''")
+    ok = F.size(F.filter(F.split(tx.strip(F.coalesce("content", F.lit(""))), r"\s+"), lambda w: w != "")) >= 8
+    props = x.where(ok).select("run_id", "rec_id", F.array_sort(tx.words(F.concat_ws(" ", F.lit("extending"), F.col("title")))).alias("t"))
+    like = ordered.like_any(props, x.select("run_id", tx.words(F.col("title")).alias("t")), ["run_id"], "t", 0.65)
+    return props.join(like, ["run_id", "t"], "left_anti").select("rec_id")
 
 
 # aggregates
