@@ -336,10 +336,11 @@ def _contexts(reads: list[str], batches: Iterable[pd.DataFrame]) -> Iterator[pd.
 
 
 def learn(docs: DataFrame) -> Learned:
-    """What the twins of ``docs`` (``text``) teach about the whole corpus."""
-    total = docs.count()
+    """What the twins of ``docs`` (``text``) teach about the whole corpus. Exact copies of a text teach once."""
+    total = docs.select(F.xxhash64("text").alias("t")).distinct().count()
     floor = max(LEAST_TEXTS, total // RARE)
-    texts = spread(docs.select("text")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    some = docs.select("text").where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    texts = spread(durable(some.groupBy(F.xxhash64("text").alias("t")).agg(F.first("text").alias("text")).select("text")))
     pieces = durable(
         texts.mapInPandas(_words, "kind string, left string, piece string, n bigint")
         .groupBy("kind", "left", "piece").agg(F.sum("n").alias("n"))

@@ -214,6 +214,14 @@ def test_restoring_is_a_round_trip(spark):
     assert mojibake.restored(df.where("false")).count() == 0
 
 
+def test_a_garbled_text_with_a_third_of_the_rows_is_found(spark):
+    docs = [(i, SENTENCES[i % 4].format(i // 4)) for i in range(240)] + [(1000 + k, _garble(SENTENCES[2].format(70 + k), "cp1251", "cp1252")) for k in range(6)]
+    docs += [(2000 + k, _garble(SENTENCES[k % 4].format(k), "utf-8", "cp1252")) for k in range(8)]
+    docs += [(3000 + k, docs[240][1]) for k in range(130)]
+    got = {r.doc_id: r.restored for r in mojibake.restored(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert set(got) == {i for i, _ in docs if i >= 1000} and got[3000] == SENTENCES[2].format(70)
+
+
 def test_alignment():
     assert mojibake.aligned("für é", "fÃ¼r Ã©") == [("ü", "Ã¼"), ("é", "Ã©")] and mojibake.aligned("für", "fxr") == []
     assert ("utf-8", "cp1252") in mojibake.explained("ü", "Ã¼") and mojibake.back("Ã¼", "utf-8", "cp1252") == "ü"
