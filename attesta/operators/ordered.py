@@ -60,17 +60,15 @@ def like_any(left: DataFrame, right: DataFrame, scope: Sequence[str], tokens: st
     return met.where(both / (F.size("a") + F.size("b") - both) > threshold).select(*scope, F.col("a").alias(tokens)).distinct()
 
 
-def greedy_first_wins(df: DataFrame, id_col: str, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def greedy_first_wins(df: DataFrame, id_col: str, edges: DataFrame) -> DataFrame:
     """The rows that a pass in id order keeps if a row is dropped for being like a kept earlier one.
 
     ``edges`` holds ``(earlier, later)``. Each round decides every row whose earlier neighbours are decided, so the
-    number of rounds is the longest chain of likes, not the number of rows.
+    number of rounds is the longest chain of likes, not the number of rows. Each round decides a row, so it ends.
     """
     open_edges = durable(edges.distinct())
     dropped: DataFrame | None = None
-    for _ in range(rounds):
-        if open_edges.isEmpty():
-            break
+    while not open_edges.isEmpty():
         later = open_edges.select(F.col("later").alias("id")).distinct()
         sure = open_edges.select(F.col("earlier").alias("id")).distinct().join(later, "id", "left_anti")
         gone = durable(open_edges.join(sure, F.col("earlier") == F.col("id"), "left_semi").select(F.col("later").alias("id")).distinct())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.identity import literature_doi
 from attesta.functions.text import jaccard, keywords, words
-from attesta.operators.ordered import like_any
+from attesta.operators.ordered import greedy_first_wins, like_any
 from attesta.plans import core
 from attesta.sources.tables import table
 
@@ -50,3 +50,9 @@ def test_every_doi_of_evidence_is_looked_up(spark):
     named = {(r.run_id, form(m)) for r in e for m in re.findall(r"(?i)10\.[0-9]{4,9}/[^\s\"<>()\[\]]+", f"{r.evidence or ''} see {r.doi or ''}.")}
     got = [(r.run_id, r.doi) for r in core.j_invented_dois(spark, D).collect()]
     assert sorted(got) == sorted(named - have) and got
+
+
+def test_a_long_chain_of_likes_is_decided_to_its_end(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(110)], "earlier bigint, later bigint").coalesce(1)
+    kept = greedy_first_wins(spark.range(0, 111, 1, 1).withColumnRenamed("id", "n"), "n", edges)
+    assert sorted(r.n for r in kept.collect()) == list(range(0, 111, 2))
