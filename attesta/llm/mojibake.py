@@ -435,6 +435,7 @@ def _garbled_words(words: DataFrame, known: Learned) -> DataFrame:
     forms = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _mapped(F.col("word"), w, r).alias("c")) for k, (w, r) in enumerate(known.single)]))
     tried = words.select("word", F.lower("word").alias("low"), forms.alias("f")).where("f.c IS NOT NULL AND f.c <> word").select("word", "low", F.col("f.k").alias("k"), F.lower("f.c").alias("c"))
     both = tried.join(usual.select(F.col("low").alias("c"), F.col("n").alias("much")), "c").join(usual.select("low", F.col("n").alias("few")), "low")
+    both = both.withColumn("few", F.when(F.col("few") >= LEAST_TEXTS, F.col("few")).otherwise(0))
     hits = both.where(F.col("much") >= MORE * (F.col("few") + 1))
     return hits.groupBy("word").agg(F.collect_list(F.struct("k", (F.col("much") >= MUCH_MORE * (F.col("few") + 1)).alias("sure"))).alias("hits"))
 

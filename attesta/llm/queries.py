@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, cutoffs, entities, mixing, mojibake, names, skeletons, spellings, survivors
+from attesta.llm import bpe, cutoffs, entities, mixing, mojibake, names, skeletons, spellings, sql, survivors
 from attesta.operators.spread import spread
 from attesta.sources.tables import table
 
@@ -105,4 +105,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p3_found, p3_classes, p3_normalised, p4_found, p4_shares, p5_found, p5_matches, p6_found, p6_records, p7_ids, p8_mix, p8_shares, p9_found, p9_restored)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = sql.SQL
