@@ -74,7 +74,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_matches(spark, d).select("rec_id", "work_id")
 
 
-_BUNDLES = (survivors.venue(), survivors.content(), survivors.authors())
+# the fields that stand and fall together: where a work appeared, what it says, whose it is
+_BUNDLES = (survivors.venue(others=("year", "doi", "citation_count")), survivors.content(others=("url", "is_open_access")), survivors.authors(others=("title",)))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
