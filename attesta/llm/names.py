@@ -3,9 +3,10 @@
 Distinct spellings and reference names become vectors of character n-grams (taken inside words, so the order of the
 parts does not count) weighted by inverse document frequency. A sparse top-n cosine join finds the candidates of each
 spelling above a threshold. An exact check of the parts of the name then keeps a candidate only if the spelling can mean it
-(edit distance, initials, abbreviations, nicknames, order of parts), and none if two are equally good. Spellings of
-one entity are grouped around its forms by average linkage: a spelling stays if its mean similarity to all members of
-its group reaches a floor. The mean is taken against the sum of the members' vectors, so no group is held in one place.
+(edit distance, initials, abbreviations, nicknames, order of parts), and of these only the ones within ``MARGIN`` of the best.
+Spellings with one such candidate form the groups of the entities. All others go to the group they have the largest average linkage
+with, the mean of their similarities to all its members, and to none if two groups are equally near or all below a
+floor. The mean is taken against the sum of the members' vectors, so no group is held in one place.
 
 Defined cases
     NULL, empty and blank names, and names without letters, mean nobody. Repeated rows and slots are each linked. An
@@ -37,8 +38,10 @@ from attesta.operators.skew import hot_keys, salted_lookup
 #: Candidates are kept down to this cosine; the nearest TOP_N and all that tie with the last of them.
 THRESHOLD = {"author": 0.3, "journal": 0.25}
 TOP_N = 24
-#: Mean similarity to its group that a spelling needs to stay.
+#: Mean similarity to its group that a spelling needs.
 LINKAGE = 0.15
+#: Candidates are left to the linkage if the exact check finds them worse than the best by no more than this.
+MARGIN = 0.5
 REFERENCE_ROWS = 200_000
 
 # Short forms of given names.
@@ -61,16 +64,8 @@ NICKNAMES = {
 }
 TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "sir", "phd", "md", "msc", "bsc", "jr", "sr", "dphil", "mph"}
 PARTICLES = {"van", "von", "de", "del", "della", "di", "da", "la", "le", "den", "der", "al", "el", "bin", "ibn", "ter", "ten", "af", "zu"}
-# Short forms of title words by the usual standard, and those that would also fit another word of journal titles.
+# Short forms of title words that would also fit another word, or that are no beginning of theirs.
 SHORT = {"comp": "comparative", "comput": "computational", "intl": "international", "int": "international", "integr": "integrative", "elect": "electronic"}
-TITLE_WORDS = {
-    "advances": "adv", "analytics": "anal", "annals": "ann", "applied": "appl", "archives": "arch", "automation": "autom", "bulletin": "bull", "cartography": "cartogr",
-    "chemistry": "chem", "comparative": "comp", "computational": "comput", "diagnostics": "diagn", "ecology": "ecol", "engineering": "eng", "environmental": "environ",
-    "evidence": "evid", "experimental": "exp", "forensics": "forens", "historical": "hist", "hydrology": "hydrol", "inference": "infer", "integrative": "integr",
-    "international": "int", "journal": "j", "letters": "lett", "library": "libr", "logistics": "logist", "mechanics": "mech", "medicine": "med", "navigation": "navig",
-    "proceedings": "proc", "quantitative": "quant", "reasoning": "reason", "regional": "reg", "research": "res", "review": "rev", "robotics": "robot", "sediment": "sedim",
-    "society": "soc", "synthesis": "synth", "theoretical": "theor", "transactions": "trans",
-}
 SMALL_WORDS = {"of", "on", "in", "the", "for", "and", "a", "an", "&"}
 
 
@@ -273,7 +268,7 @@ def _word_cost(token: str, word: str) -> float | None:
 
 
 def journal_cost(spelling: str, journal: str) -> float | None:
-    """How far a spelling is from meaning the journal; None if it can't mean it."""
+    """How far a spelling is from meaning the journal; None if it can't mean it. A word that stands between small words may be left out."""
     form = journal_form(spelling)
     target = _significant(journal_form(journal))
     tokens = _significant(form)
@@ -287,34 +282,74 @@ def journal_cost(spelling: str, journal: str) -> float | None:
         c, i = min(costs)
         cost += c
         left.pop(i)
-    if left and left != ["society"]:
+    if left and not (len(left) == 1 and left[0] in _enclosed(journal_form(journal))):
         return _run_together(tokens, target)
     return cost + (0.5 if left else 0)
 
 
+def _enclosed(form: str) -> list[str]:
+    w = re.findall(r"[^\W\d_]+", form)
+    return [y for x, y, z in zip(w, w[1:], w[2:]) if x in SMALL_WORDS and y not in SMALL_WORDS and z in SMALL_WORDS]
+
+
 def _run_together(tokens: list[str], target: list[str]) -> float | None:
-    """The cost when blanks or dots have moved: the letters alone, at most one of them wrong."""
+    """The cost when blanks or dots have moved: the letters alone, at most one of them wrong, or the beginnings of all words in a row."""
     said = "".join(tokens)
     if len(said) < 8:
         return None
-    d = min(distance(said, "".join(target), 1), distance(said, "".join(TITLE_WORDS.get(w, w) for w in target), 1))
-    return 4.0 + d if d <= 1 else None
+    d = distance(said, "".join(target), 1)
+    if d <= 1:
+        return 4.0 + d
+    d = _beginnings(said, target)
+    return None if d is None else 4.0 + d
+
+
+def _beginnings(said: str, words: list[str]) -> int | None:
+    """0 if ``said`` is a beginning of each word in turn, of at least three letters but for one word; 1 if but for one letter; else None."""
+
+    def reached(x: str, ws: list[str], back: bool) -> list[set[tuple[int, bool]]]:
+        out = [{(0, False)}]
+        for w in ws:
+            now = set()
+            for at, short in out[-1]:
+                for k in range(1 if not short else 3, len(w) + 1):
+                    part = w[:k][::-1] if back else w[:k]
+                    if x.startswith(part, at):
+                        now.add((at + k, short or k < 3))
+                    elif not back:
+                        break
+            out.append(now)
+        return out
+
+    ahead = reached(said, words, False)
+    if any(at == len(said) for at, _ in ahead[-1]):
+        return 0
+    behind = reached(said[::-1], words[::-1], True)
+    for i, w in enumerate(words):
+        for at, one in ahead[i]:
+            for rest, two in behind[len(words) - 1 - i]:
+                part = said[at : len(said) - rest]
+                if not (one and two) and len(part) >= 3 and any(distance(part, w[:k], 1) <= 1 for k in range(max(3, len(part) - 1), min(len(w), len(part) + 1) + 1)):
+                    return 1
+    return None
 
 
-def _best(spelling: str, candidates: list[tuple[int, str, float]], kind: str, parsed: dict) -> tuple[int, float] | None:
-    """The one candidate the spelling can mean best; None if there is none or two are equally good."""
+def _near(spelling: str, candidates: list[tuple[int, str, float, int]], kind: str, parsed: dict) -> list[tuple[int, int, bool]]:
+    """``(entity, form, exact)`` of the candidates the spelling can mean, as far as they are within ``MARGIN`` of the best."""
+    one = {}
+    for eid, name, sim, form in candidates:
+        if eid not in one or sim > one[eid][1]:
+            one[eid] = (name, sim, form)
+    ids = sorted(one)
     if kind == "author":
-        persons = [parsed.get(eid) or parsed.setdefault(eid, person(name)) for eid, name, _ in candidates]
-        costs = person_costs(spelling, persons)
+        costs = person_costs(spelling, [parsed.get(i) or parsed.setdefault(i, person(one[i][0])) for i in ids])
     else:
-        costs = [journal_cost(spelling, name) for _, name, _ in candidates]
-    scored = [(c, eid, sim) for c, (eid, _, sim) in zip(costs, candidates) if c is not None]
-    if not scored:
-        return None
-    scored.sort()
-    if len(scored) > 1 and scored[1][0] == scored[0][0] and scored[1][1] != scored[0][1]:
-        return None
-    return scored[0][1], scored[0][2]
+        costs = [journal_cost(spelling, one[i][0]) for i in ids]
+    able = [(c, i) for c, i in zip(costs, ids) if c is not None]
+    if not able:
+        return []
+    least = min(able)[0]
+    return [(i, one[i][2], one[i][0] == spelling) for c, i in able if c <= least + MARGIN] if least > 0 else [(i, one[i][2], one[i][0] == spelling) for c, i in able if c == 0]
 
 
 def _forms(kind: str, name: str) -> list[str]:
@@ -362,8 +397,8 @@ class Index:
         sims = np.bincount(np.concatenate([p[0] for p, _ in hits]), np.concatenate([p[1] * x for p, x in hits]), len(self.ids))
         keep = np.flatnonzero(sims >= THRESHOLD[self.kind])
         if len(keep) > n:
-            floor = np.partition(sims[keep], -n)[-n]
-            keep = keep[sims[keep] >= floor - 1e-9]
+            rounded = np.round(sims[keep], 9)
+            keep = keep[rounded >= np.partition(rounded, -n)[-n]]
         return [(self.ids[i], self.names[i], float(sims[i]), self.form[i]) for i in keep]
 
 
@@ -388,20 +423,15 @@ def link_spellings(spellings: DataFrame, reference: DataFrame) -> DataFrame:
     return _grouped(durable(linked))
 
 
-_LINKED = "kind string, spelling string, entity_id bigint, exact boolean, form int, grams array<string>, weights array<double>"
+_LINKED = "kind string, spelling string, entity_id bigint, exact boolean, form int, ways int, grams array<string>, weights array<double>"
 
 
-def _row(kind: str, s: str, best: tuple[int, float] | None, candidates: list, v: dict[str, float]) -> tuple | None:
-    if best is None:
-        return None
-    eid = best[0]
-    form = max((c for c in candidates if c[0] == eid), key=lambda c: c[2])[3]
-    exact = any(c[0] == eid and c[1] == s for c in candidates)
-    return kind, s, eid, exact, form, list(v), list(v.values())
+def _rows(kind: str, s: str, near: list[tuple[int, int, bool]], v: dict[str, float]) -> list[tuple]:
+    return [(kind, s, eid, exact, form, len(near), list(v), list(v.values())) for eid, form, exact in near]
 
 
 def _frame(out: list) -> pd.DataFrame:
-    return pd.DataFrame(out, columns=["kind", "spelling", "entity_id", "exact", "form", "grams", "weights"]).astype({"entity_id": "int64", "exact": "bool", "form": "int32"})
+    return pd.DataFrame(out, columns=["kind", "spelling", "entity_id", "exact", "form", "ways", "grams", "weights"]).astype({"entity_id": "int64", "exact": "bool", "form": "int32", "ways": "int32"})
 
 
 def _linker(rows: dict[str, list]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -415,9 +445,7 @@ def _linker(rows: dict[str, list]) -> Callable[[Iterator[pd.DataFrame]], Iterato
                     continue
                 v = index[kind].vector(s)
                 top = index[kind].top(v)
-                best = _best(s, [c[:3] for c in top], kind, parsed) if top else None
-                if row := _row(kind, s, best, top, v):
-                    out.append(row)
+                out += _rows(kind, s, _near(s, top, kind, parsed), v) if top else []
             yield _frame(out)
 
     return run
@@ -459,20 +487,25 @@ def _checker(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for kind, s, g, w, cs in zip(pdf["kind"], pdf["spelling"], pdf["grams"], pdf["weights"], pdf["candidates"]):
             top = [(c["entity_id"], c["name"], c["sim"], c["form"]) for c in cs]
-            if row := _row(kind, s, _best(s, [c[:3] for c in top], kind, parsed), top, dict(zip(g, w))):
-                out.append(row)
+            out += _rows(kind, s, _near(s, top, kind, parsed), dict(zip(g, w)))
         yield _frame(out)
 
 
 def _grouped(linked: DataFrame) -> DataFrame:
-    """The spellings whose mean similarity to the members of their group, itself counted, reaches the floor."""
+    """``(kind, spelling, entity_id, exact)``: each spelling in the group it has the largest average linkage with.
+
+    Spellings that can mean one entity form its groups, one a form of its name. Their own mean similarity, themselves counted, must reach the
+    floor; that of the others, too, and it must be larger than to any other entity.
+    """
     key = ["kind", "entity_id", "form"]
-    each = linked.select(*key, "spelling", F.explode(F.arrays_zip("grams", "weights")).alias("x")).select(*key, "spelling", F.col("x.grams").alias("g"), F.col("x.weights").alias("w"))
-    sums = each.groupBy(*key, "g").agg(F.sum("w").alias("sw"))
-    size = linked.groupBy(*key).agg(F.count("*").alias("n"))
-    mean = each.join(sums, [*key, "g"]).groupBy(*key, "spelling").agg(F.sum(F.col("w") * F.col("sw")).alias("dot")).join(size, key)
-    near = mean.where(F.col("dot") / F.col("n") >= LINKAGE).select("kind", "spelling", "entity_id")
-    return linked.join(near, ["kind", "spelling", "entity_id"], "left_semi").select("kind", "spelling", "entity_id", "exact")
+    each = linked.select(*key, "spelling", "ways", F.explode(F.arrays_zip("grams", "weights")).alias("x")).select(*key, "spelling", "ways", F.col("x.grams").alias("g"), F.col("x.weights").alias("w"))
+    sums = each.where("ways = 1").groupBy(*key, "g").agg(F.sum("w").alias("sw"))
+    size = linked.where("ways = 1").groupBy(*key).agg(F.count("*").alias("n"))
+    mean = each.join(sums, [*key, "g"]).groupBy(*key, "spelling", "ways").agg(F.sum(F.col("w") * F.col("sw")).alias("dot")).join(size, key)
+    near = mean.withColumn("mean", F.round(F.col("dot") / F.col("n"), 9)).where(F.col("mean") >= LINKAGE)
+    top = near.groupBy("kind", "spelling").agg(F.max("mean").alias("top"))
+    best = near.join(top, ["kind", "spelling"]).where("mean = top").groupBy("kind", "spelling").agg(F.min("entity_id").alias("entity_id"), F.count("*").alias("tied")).where("tied = 1").select("kind", "spelling", "entity_id")
+    return linked.join(best, ["kind", "spelling", "entity_id"], "left_semi").select("kind", "spelling", "entity_id", "exact")
 
 
 def link(said: DataFrame, reference: DataFrame) -> DataFrame:

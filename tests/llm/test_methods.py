@@ -1,6 +1,6 @@
 """The step each method is named for decides: leaving it out gives other rows."""
 
-from attesta.llm import cutoffs, survivors
+from attesta.llm import cutoffs, names, survivors
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,13 @@ def test_a_group_of_very_many_signatures_is_searched_within_its_bound(spark):
     df = spark.range(5000).select(F.col("id").alias("cand_id"), F.lit("g").alias("canonical_id"), F.concat(F.lit("V"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("venue"), F.concat(F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(" text.")).alias("content"), F.array(F.lit("Ann Lee")).alias("authors"), F.current_timestamp().alias("at"))
     got = survivors.survivors(df, "canonical_id", "cand_id", "at", (survivors.venue(), survivors.content(), survivors.authors())).collect()
     assert len(got) == 1 and got[0].authors_id == 4999 and got[0].venue_id is not None
+
+
+def test_linkage_decides_between_entities_a_spelling_can_mean(spark, monkeypatch):
+    ref = spark.createDataFrame([("author", 1, "Anna B. Torvald"), ("author", 2, "Anton Torvald")], "kind string, entity_id bigint, name string")
+    said = ["Anna B Torvald", "Torvald, Anna B.", "TORVALD Anna B.", "Anna B. Torvald", "Anna Torvald", "Anton Torvald", "A. Torvald"]
+    df = spark.createDataFrame([("author", s) for s in said], "kind string, spelling string")
+    got = {r.spelling: r.entity_id for r in names.link_spellings(df, ref).collect()}
+    assert all(got[s] == 1 for s in said[:5]) and got["Anton Torvald"] == 2 and got["A. Torvald"] in (1, 2)
+    monkeypatch.setattr(names, "LINKAGE", 1.1)
+    assert names.link_spellings(df, ref).count() == 0
