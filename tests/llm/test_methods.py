@@ -1,6 +1,6 @@
 """The step each method is named for decides: leaving it out gives other rows."""
 
-from attesta.llm import cutoffs, names, survivors
+from attesta.llm import cutoffs, entities, names, survivors
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,18 @@ def test_linkage_decides_between_entities_a_spelling_can_mean(spark, monkeypatch
     assert all(got[s] == 1 for s in said[:5]) and got["Anton Torvald"] == 2 and got["A. Torvald"] in (1, 2)
     monkeypatch.setattr(names, "LINKAGE", 1.1)
     assert names.link_spellings(df, ref).count() == 0
+
+
+def test_transitivity_lowers_the_weaker_of_two_matches(spark):
+    cell = (0, 10, 0, 0)
+    rows = [(0, 1, 11, *cell, 0.99), (0, 1, 12, *cell, 0.97), (1, 11, 12, *cell, 0.02), (0, 2, 11, *cell, 0.9), (0, 2, 13, *cell, 0.8), (1, 11, 13, *cell, 0.95), (0, 3, 14, *cell, 0.96), (0, 3, 15, *cell, 0.96)]
+    at = spark.createDataFrame(rows, "kind int, p1 bigint, p2 bigint, u int, g int, y int, d int, q double")
+    got = {(r.p1, r.p2): r.q for r in entities._transitive(at).collect()}
+    assert got[1, 11] == 0.99 and got[1, 12] < 0.05 and got[2, 11] == 0.9 and got[2, 13] == 0.8
+    assert got[3, 14] == 0.96 and got[3, 15] == 0.0  # they never met
+
+
+def test_the_mixture_uses_whether_the_rest_makes_up_for_the_titles():
+    cells = entities.np.array([[0, 10, 0, 0], [1, 10, 0, 2], [1, 10, 0, 0], [-1, 10, 0, 0], [-1, 10, 0, -1]])
+    assert entities.made_up_for(cells).tolist() == [True, False, True, True, False]
+    assert entities._values(cells).shape == (5, 5)
