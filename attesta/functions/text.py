@@ -69,8 +69,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """Sentences split after . ! ? and white space, collapsed to one line, without empty ones."""
-    return F.filter(F.transform(F.split(strip(c), r"(?<=[.!?])\s+"), one_line), lambda s: s != "")
+    """Sentences split after . ! ? and white space of any kind, collapsed to one line, without empty ones."""
+    return F.filter(F.transform(F.split(strip(c), f"(?<=[.!?]){_SPACE}+"), one_line), lambda s: s != "")
 
 
 #: Stands for a dot that ends no sentence while text is split; a private-use character no text contains.
@@ -85,7 +85,7 @@ def windows(c: Column, size: int = 2) -> Column:
     for pattern in (r"(?i)\b(e)\.(g)\.", r"(?i)\b(i)\.(e)\."):
         kept = F.regexp_replace(kept, pattern, f"$1{_DOT}$2{_DOT}")
     kept = F.regexp_replace(kept, r"(?i)\b(figs?|eqs?|refs?)\.", f"$1{_DOT}")
-    parts = F.filter(F.transform(F.split(kept, r"(?<=[.!?])\s+"), lambda s: F.replace(strip(s), F.lit(_DOT), F.lit("."))), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(kept, f"(?<=[.!?]){_SPACE}+"), lambda s: F.replace(strip(s), F.lit(_DOT), F.lit("."))), lambda s: s != "")
 
     def slide(p: Column) -> Column:
         many = F.transform(F.sequence(F.lit(1), F.size(p) - size + 1), lambda i: F.array_join(F.slice(p, i, size), " "))

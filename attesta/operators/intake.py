@@ -132,7 +132,7 @@ def accepted_extractions(items: DataFrame, sources: DataFrame, least_words: int
     inside = (e != "") & F.contains(c, e)
     cols = ["item_id", "source_id", "evidence", "claim"]
     sure = known.where(inside).select(*cols)
-    rest = known.where(~inside).withColumn("evidence", quotes.recovered("evidence", "content")).where(F.col("evidence").isNotNull()).select(*cols)
+    rest = quotes.with_recovered(known.where(~inside), "evidence", "content", "evidence").where(F.col("evidence").isNotNull()).select(*cols)
     return sure.unionByName(rest)
 
 

@@ -612,17 +612,12 @@ def _quoted(s, d) -> DataFrame:
 
 @query
 def q_in_source(s, d):
-    """Containment is decided by built-ins; only the rest goes through character matching."""
-    x = _quoted(s, d).withColumn("e", tx.word_form(F.coalesce("evidence", F.lit("")))).withColumn("f", tx.word_form(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))))
-    sure = (F.col("e") != "") & F.contains("f", F.col("e"))
-    yes = x.where(sure).select("item_id", F.lit(True).alias("found"))
-    rest = x.where(~sure).select("item_id", quotes.found_in_source("evidence", "title", "content").alias("found"))
-    return yes.unionByName(rest)
+    return _quoted(s, d).select("item_id", quotes.found_in_source(F.col("evidence"), F.col("title"), F.col("content")).alias("found"))
 
 
 @query
 def q_recovered(s, d):
-    return _quoted(s, d).select("item_id", quotes.recovered("evidence", "content").alias("passage"))
+    return quotes.with_recovered(_quoted(s, d), "evidence", "content", "passage").select("item_id", "passage")
 
 
 @query

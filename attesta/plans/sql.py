@@ -158,10 +158,10 @@ SELECT rec_id, n - 1 AS n, l[n] AS alias FROM c, unnest(range(1, len(l) + 1)) t(
 """
 SQL["k_cache_keys"] = f"SELECT rec_id, substr(sha256(lower({_strip('coalesce(title, ' + chr(39) * 2 + ')')}) || '|8'), 1, 16) AS cache_key FROM academic_sources"
 
-_SENT = f"list_filter(list_transform(string_split(regexp_replace({_strip('content')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_line('s')}), lambda s: s <> '')"
+_SENT = f"list_filter(list_transform(string_split(regexp_replace({_strip('content')}, '([.!?]){_SP}+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_line('s')}), lambda s: s <> '')"
 SQL["t_sentences"] = f"WITH a AS (SELECT rec_id, {_SENT} AS l FROM academic_sources WHERE content IS NOT NULL) SELECT rec_id, n - 1 AS n, l[n] AS sentence FROM a, unnest(range(1, len(l) + 1)) t(n)"
 _PROT = f"regexp_replace(regexp_replace(regexp_replace({_strip('content')}, '(?i)\\b(e)\\.(g)\\.', '\\1' || chr(57344) || '\\2' || chr(57344), 'g'), '(?i)\\b(i)\\.(e)\\.', '\\1' || chr(57344) || '\\2' || chr(57344), 'g'), '(?i)\\b(figs?|eqs?|refs?)\\.', '\\1' || chr(57344), 'g')"
-_PARTS = f"list_filter(list_transform(string_split(regexp_replace({_PROT}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: replace({_strip('s')}, chr(57344), '.')), lambda s: s <> '')"
+_PARTS = f"list_filter(list_transform(string_split(regexp_replace({_PROT}, '([.!?]){_SP}+', '\\1' || chr(1), 'g'), chr(1)), lambda s: replace({_strip('s')}, chr(57344), '.')), lambda s: s <> '')"
 _WINDOWS = f"""parts AS (SELECT rec_id, {_PARTS} AS s FROM academic_sources WHERE content IS NOT NULL),
 win AS (SELECT rec_id, n - 1 AS n, array_to_string(list_slice(s, n, n + 1), ' ') AS passage FROM parts, unnest(range(1, greatest(len(s) - 1, 1) + 1)) t(n) WHERE len(s) > 0)"""
 SQL["t_windows"] = f"WITH {_WINDOWS} SELECT rec_id, n, passage FROM win"
