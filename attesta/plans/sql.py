@@ -267,19 +267,30 @@ SELECT source_id, item_id FROM x QUALIFY good OR NOT bool_or(good) OVER (PARTITI
 """
 SQL["j_new_works"] = f"SELECT work_id FROM registry_works WHERE {_report_doi('doi')} <> '' AND {_report_doi('doi')} NOT IN (SELECT {_report_doi('doi')} FROM academic_sources)"
 _NAMED = "list_transform(regexp_extract_all(t, '(?i)(10\\.[0-9]{4,9}/[^\\s\"<>()\\[\\]]+)', 1), lambda x: " + _literature_doi("x") + ")"
+_RUNS = """
+allsrc AS (SELECT rec_id, run_id, CAST(pos AS BIGINT) AS pos, doi, url, title, content FROM academic_sources),
+pin AS (SELECT rec_id, doi, url, title, content FROM pinned_sources),
+rsrc AS (
+  SELECT * FROM allsrc
+  UNION ALL SELECT p.rec_id, r.run_id, 1099511627776 + p.rec_id AS pos, p.doi, p.url, p.title, p.content FROM (SELECT DISTINCT run_id FROM allsrc WHERE run_id IS NOT NULL UNION ALL SELECT 'pinned') r CROSS JOIN pin p),
+ev AS (SELECT e.*, x.rec_id, x.run_id, x.doi AS sdoi, x.url AS surl, x.title AS stitle FROM evidence_items e JOIN (SELECT rec_id, run_id, doi, url, title FROM allsrc UNION ALL SELECT rec_id, 'pinned', doi, url, title FROM pin) x ON e.source_id = 'source_' || x.rec_id)"""
 SQL["j_invented_dois"] = f"""
-WITH t AS (SELECT run_id, coalesce(title, '') || ' see ' || coalesce(doi, '') || '.' AS t FROM academic_sources WHERE pos % 3 = 0),
+WITH {_RUNS},
+t AS (SELECT run_id, coalesce(evidence, '') || ' see ' || coalesce(doi, '') || '.' AS t FROM ev),
 n AS (SELECT DISTINCT run_id, unnest({_NAMED}) AS doi FROM t),
-h AS (SELECT DISTINCT run_id, {_literature_doi('doi')} AS doi FROM academic_sources WHERE pos % 3 <> 0 AND doi <> '')
+h AS (SELECT DISTINCT run_id, {_literature_doi('doi')} AS doi FROM rsrc WHERE doi <> '')
 SELECT n.run_id, n.doi FROM n ANTI JOIN h ON n.run_id = h.run_id AND n.doi = h.doi
 """
 SQL["j_unverified"] = "SELECT item_id FROM evidence_items e WHERE NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.evidence_id = e.evidence_id)"
 SQL["j_batches"] = "SELECT item_id, source_key, CAST(floor((row_number() OVER (PARTITION BY source_key ORDER BY item_id) - 1) / 5) AS BIGINT) AS batch FROM evidence_items"
 SQL["j_merged_providers"] = "SELECT run_id, rec_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE source WHEN 'Semantic Scholar' THEN 0 WHEN 'OpenAlex' THEN 1 WHEN 'Crossref' THEN 2 ELSE 3 END, pos) AS place FROM academic_sources"
+_COUNT = lambda x: f"len(list_filter(regexp_split_to_array({_strip(f'coalesce({x}, {chr(39) * 2})')}, '{_SP}+'), lambda w: w <> ''))"
 SQL["j_valid_gaps"] = f"""
-WITH p AS (SELECT run_id, rec_id, {_words("'extending ' || title")} AS a FROM academic_sources WHERE pos <= 3 AND title <> '' AND len(list_filter(regexp_split_to_array({_strip("coalesce(content, '')")}, '\\s+'), lambda w: w <> '')) >= 8),
-t AS (SELECT run_id, {_words('title')} AS b FROM academic_sources WHERE title <> '')
-SELECT rec_id FROM p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.run_id = p.run_id AND {_jaccard('p.a', 't.b')} > 0.65)
+WITH {_RUNS},
+p AS (SELECT run_id, item_id, {_words("CASE WHEN item_id % 3 = 0 THEN coalesce(stitle, '') || ' revisited' ELSE coalesce(claim, '') END")} AS a FROM ev
+      WHERE {_COUNT('claim')} >= 8 AND {_COUNT('evidence')} >= 8 AND NOT contains(claim, 'Novelty =') AND NOT contains(claim, 'Difficulty =')),
+t AS (SELECT DISTINCT run_id, {_words('title')} AS b FROM rsrc WHERE title <> '')
+SELECT item_id FROM p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.run_id = p.run_id AND {_jaccard('p.a', 't.b')} > 0.65)
 """
 
 
@@ -435,24 +446,22 @@ SELECT profile_id, CASE WHEN {_STRONG} AND metadata_agreement = 'CONFLICT' THEN
 CASE WHEN {_STRONG} AND confidence_level = 'LOW' THEN 'MEDIUM' ELSE confidence_level END AS confidence_level FROM profiles
 """
 
-_CLAIMS = """
-re AS (SELECT e.item_id, e.claim, s.run_id FROM evidence_items e JOIN academic_sources s ON e.source_id = 'source_' || s.rec_id WHERE e.claim <> ''),
-rf AS (SELECT * FROM re QUALIFY row_number() OVER (PARTITION BY run_id, claim ORDER BY item_id) = 1),
-cl AS (SELECT run_id, item_id AS claim_id, claim FROM rf QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY item_id) <= 3)"""
+_CLAIMS = f"""{_RUNS},
+cl AS (SELECT run_id, item_id AS claim_id, claim FROM ev WHERE claim <> '' QUALIFY row_number() OVER (PARTITION BY run_id, claim ORDER BY item_id) = 1)"""
 
 
 def _pairs(where: str) -> str:
     return f"""
 ck AS (SELECT run_id, claim_id, least(2, len(k)) AS need, unnest(k) AS w FROM (SELECT run_id, claim_id, {_keywords('claim')} AS k FROM cl)),
-sk AS (SELECT run_id, rec_id AS source_id, unnest({_keywords("coalesce(title, '') || '. ' || coalesce(content, '')")}) AS w FROM academic_sources {where}),
+sk AS (SELECT run_id, rec_id AS source_id, unnest({_keywords("coalesce(title, '') || '. ' || coalesce(content, '')")}) AS w FROM rsrc {where}),
 pr AS (SELECT claim_id, source_id FROM ck JOIN sk ON ck.run_id = sk.run_id AND ck.w = sk.w GROUP BY claim_id, source_id, need HAVING count(*) >= need)"""
 
 
 SQL["c_prefilter"] = f"WITH {_CLAIMS}, {_pairs('')} SELECT claim_id, source_id FROM pr"
 _QT = _terms("claim", 2, "a-z0-9")
 _QK = f"list_filter({_QT}, lambda w: NOT list_contains({_list(lx.CLAIM_STOP_WORDS)}, w))"
-SQL["c_best_passages"] = f"""
-WITH {_CLAIMS}, {_pairs("WHERE content <> ''")}, {_WINDOWS},
+_ALL_WINDOWS = _WINDOWS.replace("FROM academic_sources", "FROM (SELECT rec_id, content FROM academic_sources UNION ALL SELECT rec_id, content FROM pinned_sources)")
+_BEST = f"""
 tm AS (SELECT rec_id AS source_id, n AS win, {_terms('passage', 2, 'a-z0-9')} AS t FROM win),
 st AS (SELECT source_id, count(*) AS n, avg(len(t)) AS avgdl FROM tm GROUP BY source_id),
 tf AS (SELECT source_id, win, dl, w, count(*) AS tf FROM (SELECT source_id, win, len(t) AS dl, unnest(t) AS w FROM tm) GROUP BY ALL),
@@ -460,8 +469,79 @@ df AS (SELECT source_id, w, count(*) AS df FROM tf GROUP BY ALL),
 qq AS (SELECT claim_id, w, count(*) AS times FROM (SELECT claim_id, unnest(CASE WHEN len({_QK}) > 0 THEN {_QK} ELSE {_QT} END) AS w FROM cl) GROUP BY ALL),
 sc AS (SELECT pr.claim_id, pr.source_id, tf.win, round(sum(qq.times * ln((st.n - df.df + 0.5) / (df.df + 0.5) + 1) * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * tf.dl / st.avgdl))), 6) AS score
        FROM pr JOIN qq ON pr.claim_id = qq.claim_id JOIN tf ON tf.source_id = pr.source_id AND tf.w = qq.w JOIN df ON df.source_id = tf.source_id AND df.w = tf.w JOIN st ON st.source_id = pr.source_id GROUP BY ALL),
-be AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY claim_id, source_id ORDER BY score DESC, win) = 1)
-SELECT be.claim_id, be.source_id, be.win AS "window", CASE WHEN length(passage) > 500 THEN substr(passage, 1, 500) || '...' ELSE passage END AS passage, round(score, 4) AS score FROM be JOIN win ON win.rec_id = be.source_id AND win.n = be.win WHERE score > 0
+be AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY claim_id, source_id ORDER BY score DESC, win) = 1),
+bp AS (SELECT be.claim_id, be.source_id, be.win, CASE WHEN length(passage) > 500 THEN substr(passage, 1, 500) || '...' ELSE passage END AS passage, score FROM be JOIN win ON win.rec_id = be.source_id AND win.n = be.win WHERE score > 0)"""
+SQL["c_best_passages"] = f"""
+WITH {_CLAIMS}, {_pairs("WHERE content <> ''")}, {_ALL_WINDOWS}, {_BEST}
+SELECT claim_id, source_id, win AS "window", passage, score FROM bp
+"""
+# a pass in order that keeps what is like no kept one: one step a row, over all scopes at once
+def _greedy(rows: str, least: float) -> str:
+    """``g`` with the ids that stay, from ``rows`` (scope, id, o, t)."""
+    return f"""
+q AS (SELECT scope, id, t, row_number() OVER (PARTITION BY scope ORDER BY o) AS rn FROM ({rows})),
+g AS (
+  SELECT DISTINCT scope, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[][]) AS kept, CAST(NULL AS BIGINT) AS id FROM q
+  UNION ALL
+  SELECT g.scope, q.rn, CASE WHEN like_kept THEN g.kept ELSE list_append(g.kept, q.t) END, CASE WHEN like_kept THEN NULL ELSE q.id END
+  FROM (SELECT g.scope, g.rn, g.kept, q.rn AS next, q.id, q.t, len(q.t) > 0 AND len(list_filter(g.kept, lambda k: {_jaccard('k', 'q.t')} >= {least} - 1e-9)) > 0 AS like_kept FROM g JOIN q ON q.scope = g.scope AND q.rn = g.rn + 1) g
+  JOIN q ON q.scope = g.scope AND q.rn = g.next
+)"""
+
+
+_D0 = f"SELECT * FROM academic_sources WHERE {_strip('coalesce(title, ' + chr(39) * 2 + ')')} <> '' AND lower({_strip('title')}) NOT IN ('untitled', 'unknown title', 'none', 'no title')"
+SQL["d_academic"] = f"""
+WITH RECURSIVE s1 AS (SELECT * FROM (SELECT *, {_dedup_doi('doi')} AS k FROM ({_D0})) QUALIFY k = '' OR row_number() OVER (PARTITION BY run_id, k ORDER BY pos) = 1),
+s2 AS (SELECT * FROM (SELECT *, lower({_strip('coalesce(url, ' + chr(39) * 2 + ')')}) AS u FROM s1) QUALIFY u = '' OR row_number() OVER (PARTITION BY run_id, u ORDER BY pos) = 1),
+{_greedy(f"SELECT run_id AS scope, rec_id AS id, pos AS o, list_distinct(list_filter(string_split({_title_form('title')}, ' '), lambda w: w <> '')) AS t FROM s2", 0.85)}
+SELECT scope AS run_id, id AS rec_id FROM g WHERE id IS NOT NULL
+"""
+_CORE = f"""{_RUNS},
+entailed AS (SELECT ev.* FROM ev JOIN {_LAST_LABELS} l ON ev.item_id = l.item_id WHERE l.last_label = 'ENTAILMENT' AND {_strip('coalesce(ev.claim, ' + chr(39) * 2 + ')')} <> '' AND NOT regexp_matches(ev.claim, '(?i){lx.COMMERCE}')),
+{_greedy(f"SELECT run_id AS scope, item_id AS id, item_id AS o, {_words('claim')} AS t FROM entailed", 0.70)},
+core AS (SELECT e.* FROM entailed e JOIN g ON g.id = e.item_id QUALIFY row_number() OVER (PARTITION BY e.run_id ORDER BY e.item_id) <= 5)"""
+SQL["c_core_claims"] = f"WITH RECURSIVE {_CORE} SELECT run_id, item_id, claim FROM core"
+_PROFILED = f"""{_CORE},
+prof AS {_LATEST},
+ss AS (SELECT r.*, p.is_retracted, {_canonical('r.doi', 'r.url', 'r.title')} AS cid, {_source_key('r.doi', 'r.url', 'r.title')} AS skey FROM rsrc r LEFT JOIN (SELECT rec_id, is_retracted FROM prof WHERE rec_id NOT IN (SELECT rec_id FROM pin)) p ON r.rec_id = p.rec_id),
+gone AS (SELECT DISTINCT run_id, cid FROM ss WHERE is_retracted),
+cl AS (
+  SELECT c.run_id, c.item_id AS claim_id, c.claim, c.evidence, c.own_cid, c.own_skey, coalesce(c.is_retracted, false) OR gone.cid IS NOT NULL AS is_retracted
+  FROM (SELECT *, {_canonical('sdoi', 'surl', 'stitle')} AS own_cid, {_source_key('sdoi', 'surl', 'stitle')} AS own_skey FROM core) c LEFT JOIN gone ON gone.run_id = c.run_id AND gone.cid = c.own_cid),
+fp AS (SELECT cl.claim_id, ss.rec_id AS source_id, ss.cid, ss.skey, row_number() OVER (PARTITION BY cl.claim_id ORDER BY ss.pos, ss.rec_id) AS rn FROM cl JOIN ss ON ss.run_id = cl.run_id
+       WHERE NOT (coalesce(ss.cid = cl.own_cid, false) OR (cl.own_skey <> '' AND coalesce(ss.skey = cl.own_skey, false)))),
+fr AS (
+  SELECT DISTINCT claim_id, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS BIGINT) AS source_id FROM fp
+  UNION ALL
+  SELECT x.claim_id, x.rn, CASE WHEN x.twice THEN x.seen ELSE list_concat(x.seen, x.keys) END, CASE WHEN x.twice THEN NULL ELSE x.source_id END
+  FROM (SELECT y.*, len(list_intersect(y.seen, y.keys)) > 0 AS twice FROM (SELECT fr.claim_id, fp.rn, fr.seen, fp.source_id, list_filter(['c' || nullif(fp.cid, ''), 's' || nullif(fp.skey, '')], lambda k: k IS NOT NULL) AS keys FROM fr JOIN fp ON fp.claim_id = fr.claim_id AND fp.rn = fr.rn + 1) y) x
+),
+{_pairs("WHERE " + _strip("coalesce(content, '')") + " <> ''").replace("pr AS (", "pr0 AS (")},
+pr AS (SELECT pr0.claim_id, pr0.source_id FROM pr0 JOIN fr ON fr.claim_id = pr0.claim_id AND fr.source_id = pr0.source_id),
+{_ALL_WINDOWS}, {_BEST},
+lb AS (SELECT bp.claim_id, bp.source_id, cl.claim, bp.passage AS evidence, {_keywords('cl.claim')} AS k, {_keywords('bp.passage')} AS e FROM bp JOIN cl ON cl.claim_id = bp.claim_id),
+la AS (SELECT claim_id, source_id, CASE WHEN trim(evidence) = '' THEN 'UNVERIFIED' WHEN round(len(list_intersect(k, e)) / greatest(len(k), 1), 3) < 0.70 THEN 'NEUTRAL' WHEN {_NEG('claim')} <> {_NEG('evidence')} THEN 'CONTRADICTION' ELSE 'ENTAILMENT' END AS label FROM lb),
+rt AS (SELECT rec_id AS source_id, coalesce(bool_or(is_retracted), false) AS gone FROM ss GROUP BY rec_id),
+ct AS (SELECT la.claim_id, count(*) FILTER (label = 'ENTAILMENT' AND NOT gone) AS ind, count(*) FILTER (label = 'CONTRADICTION' AND NOT gone) AS con, count(*) FILTER (gone) AS ret FROM la JOIN rt USING (source_id) GROUP BY la.claim_id),
+co AS (SELECT cl.run_id, cl.claim_id, cl.claim, coalesce(ind, 0) AS independent, coalesce(con, 0) AS contradicting, CAST({_strip("coalesce(evidence, '')")} <> '' AND NOT is_retracted AS BIGINT) AS origin,
+       coalesce(ret, 0) + CAST({_strip("coalesce(evidence, '')")} <> '' AND is_retracted AS BIGINT) AS alerts FROM cl LEFT JOIN ct USING (claim_id)),
+cv AS (SELECT *, origin + independent AS supporting,
+       CASE WHEN independent >= 1 AND contradicting = 0 AND origin + independent >= 2 THEN 'CONSISTENT_SUPPORT' WHEN origin + independent >= 1 AND contradicting >= 1 THEN 'MIXED_EVIDENCE'
+       WHEN contradicting >= 1 AND origin + independent = 0 THEN 'PREDOMINANTLY_CONTRADICTED' WHEN origin + independent = 1 AND contradicting = 0 THEN 'SINGLE_SOURCE_CLAIM' ELSE 'UNADDRESSED' END AS verdict FROM co)"""
+SQL["c_consensus"] = f"""
+WITH RECURSIVE {_PROFILED}
+SELECT run_id, claim_id, claim, supporting, independent, contradicting, alerts, verdict,
+CASE WHEN verdict = 'CONSISTENT_SUPPORT' AND origin >= 1 THEN 'Supported by originating paper and corroborated by ' || independent || ' independent academic source(s) with zero contradictory findings.'
+WHEN verdict = 'CONSISTENT_SUPPORT' THEN 'Supported by ' || independent || ' independent academic source(s) with zero contradictory findings.'
+WHEN verdict = 'MIXED_EVIDENCE' THEN 'Conflicting findings observed across literature: ' || supporting || ' supporting (' || independent || ' independent) vs ' || contradicting || ' contradicting source(s).'
+WHEN verdict = 'PREDOMINANTLY_CONTRADICTED' THEN 'Literature contradicts this claim (' || contradicting || ' contradictory finding(s), ' || contradicting || ' independent).'
+WHEN verdict = 'SINGLE_SOURCE_CLAIM' AND origin >= 1 THEN 'Supported by originating paper, but not corroborated or tested across other retrieved sources.'
+WHEN verdict = 'SINGLE_SOURCE_CLAIM' THEN 'Supported by a single literature source, without independent corroboration.' ELSE 'No authoritative evidence found across the retrieved literature.' END AS reason FROM cv
+"""
+SQL["c_histogram"] = f"WITH RECURSIVE {_PROFILED} SELECT verdict, count(*) AS claims FROM cv GROUP BY verdict"
+SQL["c_table_rows"] = f"""
+WITH RECURSIVE {_PROFILED}
+SELECT run_id, claim_id, '| [' || row_number() OVER (PARTITION BY run_id ORDER BY claim_id) || '] | ' || CASE WHEN length(claim) > 60 THEN substr(claim, 1, 60) || '...' ELSE claim END || ' | ' || supporting || ' | ' || contradicting || ' | ' || alerts || ' | ' || verdict || ' |' AS row FROM cv
 """
 SQL["c_nearest"] = """
 WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 6) AS similarity FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
