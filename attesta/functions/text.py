@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.functions import lexicon as lx
 
@@ -101,10 +104,26 @@ def authors_line(authors: Column) -> Column:
     return F.when(F.size(names) == 0, F.lit("N/A")).otherwise(F.trim(F.translate(line, "|\n", "/ ")))
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(c: pd.Series) -> pd.Series:
+    return c.map(lambda x: html.unescape(html.unescape(x)), na_action="ignore")
+
+
+def unescaped(c: Column) -> Column:
+    """Without character references, also those that were written as such twice; text without ``&`` never leaves the JVM."""
+    marked = F.contains(c, F.lit("&"))
+    return F.when(marked, _unescaped(F.when(marked, c))).otherwise(c)
+
+
 def cell(c: Column, limit: int) -> Column:
-    """A table cell: no bars or line breaks, cut at a word with an ellipsis."""
+    """A table cell: no character references, bars or line breaks, cut at a word with an ellipsis."""
+    return cut_cell(unescaped(c), limit)
+
+
+def cut_cell(c: Column, limit: int) -> Column:
+    """``cell`` of text without character references, also inside lambdas."""
     return let(
-        F.trim(F.translate(c, "|\n", "/ ")),
+        strip(F.translate(c, "|\n", "/ ")),
         lambda t: F.when(F.length(t) > limit, F.concat(F.regexp_replace(F.substring(t, 1, limit), r" [^ ]*$", ""), F.lit("…"))).otherwise(t),
     )
 

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder of the session and read back.
 
-    The folder is the one named in ``spark.checkpoint.dir``. Where none is set (tests on one machine) a temporary
-    folder is used. Values that depend on task order, such as generated ids, are fixed from here on.
+    The folder is the one named in ``spark.checkpoint.dir``. Where none is set a temporary folder is used if the session runs on one
+    machine, and an error is raised on a cluster, whose executors share no such folder. Values that depend on task order, such as generated ids, are fixed from here on.
     """
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="attesta-checkpoint-"))
     elif sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))

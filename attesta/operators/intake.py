@@ -114,10 +114,10 @@ def follow_up(query: Column, topic: Column) -> Column:
 
 def first_sentences(c: Column, n: int = 2, limit: int = 300) -> Column:
     """The first sentences without tags, cut at a word."""
-    from attesta.functions.text import cell
+    from attesta.functions.text import cut_cell
 
     plain = one_line(F.regexp_replace(c, "<[^>]+>", " "))
-    return F.when(plain == "", "").otherwise(cell(F.array_join(F.slice(F.split(plain, r"(?<=[.!?])\s+"), 1, n), " "), limit))
+    return F.when(plain == "", "").otherwise(cut_cell(F.array_join(F.slice(F.split(plain, r"(?<=[.!?])\s+"), 1, n), " "), limit))
 
 
 def accepted_extractions(items: DataFrame, sources: DataFrame, least_words: int = 6) -> DataFrame:

@@ -105,3 +105,23 @@ def decide(df: DataFrame) -> DataFrame:
     )
     out = df.withColumn("title_similarity", F.round(sim, 3)).withColumn("identity_conflict", conflict).withColumn("confidence", confidence).withColumn("agreement", agreement)
     return out.withColumn("identity_status", identity_status(F.col("is_retracted"), F.col("identity_conflict"), F.col("confidence"), F.col("agreement")))
+
+
+def with_exits(df: DataFrame) -> DataFrame:
+    """``decide`` with the cases that are settled before registries are compared; takes url, doi and venue as well.
+
+    A preprint server's paper is MEDIUM, one without DOI is LOW, one that a registry calls retracted gets a warning instead of a confidence.
+    """
+    text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    preprint = F.contains(text("url"), F.lit("arxiv.org")) | F.contains(text("doi"), F.lit("arxiv")) | F.contains(text("venue"), F.lit("arxiv"))
+    no_doi = F.trim(text("doi")) == ""
+    warned = F.coalesce("is_retracted", F.lit(False)) & ~preprint & ~no_doi
+    out = decide(df)
+    confidence = F.when(preprint, "MEDIUM").when(no_doi, "LOW").when(warned, "RETRACTED_WARNING").otherwise(F.col("confidence"))
+    agreement = F.when(preprint, "N/A (Preprint)").when(no_doi | warned, "").otherwise(F.col("agreement"))
+    status = lambda c: F.when(preprint, "SKIPPED (Preprint)").when(no_doi, "SKIPPED").otherwise(F.col(c))
+    settled = preprint | no_doi
+    return out.withColumns({
+        "oa_status": status("oa_status"), "cr_status": status("cr_status"), "confidence": confidence, "agreement": agreement,
+        "identity_status": identity_status(F.col("is_retracted") & ~settled, F.col("identity_conflict") & ~settled & ~warned, confidence, agreement),
+    })

@@ -43,3 +43,25 @@ def overall(sections: Column, coverage: Column, div: Column, dens: Column, gap:
 def ablation(scores: DataFrame, topic: str, mode: str, value: str) -> DataFrame:
     """One row a topic with its value in either mode."""
     return scores.groupBy(topic).pivot(mode, ["VERIFICATION_OFF", "VERIFICATION_ON"]).agg(F.round(F.avg(value), 4))
+
+
+def coverage(report: Column, cited: Column, eligible: Column) -> Column:
+    """The share of sentences with a citation: as a report's own audit section has it, else ``cited`` of ``eligible``; 0 if none is eligible."""
+    said = lambda mark: F.regexp_extract(report, mark + r":\s*([0-9]+)", 1)
+    e, c = said("Eligible factual-claim candidates"), said("Candidates with at least one registered citation")
+    both = (e != "") & (c != "")
+    of = F.when(both, e.cast("bigint")).otherwise(eligible)
+    return F.when(of > 0, F.when(both, c.cast("bigint")).otherwise(cited) / of).otherwise(0.0)
+
+
+# What a judge scores.
+JUDGED = ("factual_grounding", "clarity", "depth", "critical_analysis", "recommendation_quality")
+
+
+def judge_average(scores: Column) -> Column:
+    """The mean of a judge's five scores in a struct; NULL unless all are whole numbers from 1 to 10."""
+    each = [scores[n] for n in JUDGED]
+    valid = F.lit(True)
+    for c in each:
+        valid = valid & F.coalesce(c.between(1, 10), F.lit(False))
+    return F.when(valid, F.round(sum(each[1:], each[0]) / len(each), 2))

