@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from attesta.functions import lexicon as lx
-from attesta.functions.text import keywords, latin_terms, let, windows
+from attesta.functions.text import keywords, latin_terms, let, sentences, windows
+from attesta.operators.durable import durable
+from attesta.sources.providers import hash_embedder
 
 K1, B = 1.5, 0.75
 
@@ -60,6 +64,50 @@ def best_passages(pairs: DataFrame, claims: DataFrame, sources: DataFrame, most:
     return best.join(sources, "source_id").select("claim_id", "source_id", "window", cut.alias("passage"), "score")
 
 
+def semantic_passages(pairs: DataFrame, claims: DataFrame, sources: DataFrame, embed: Callable[[list[str]], list[list[float]]] = hash_embedder, least: float = 0.40, most: int = 500) -> DataFrame:
+    """``(claim_id, source_id, window, passage, score)``: the window of each source whose vector is nearest the claim's, if it reaches ``least``.
+
+    Each distinct text is embedded once. Of equally near windows the first counts. Sources without text and blank claims give nothing.
+    """
+    w = sources.select("source_id", "content").dropDuplicates(["source_id"]).join(pairs.select("source_id").distinct(), "source_id", "left_semi")
+    w = w.select("source_id", F.posexplode(windows(F.coalesce("content", F.lit("")))).alias("window", "text"))
+    c = claims.join(pairs.select("claim_id").distinct(), "claim_id", "left_semi").select("claim_id", F.col("claim").alias("text")).where("trim(coalesce(text, '')) <> ''")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"text": pdf["text"], "v": embed(list(pdf["text"]))})
+
+    v = durable(w.select("text").unionByName(c.select("text")).distinct().mapInPandas(run, "text string, v array<double>"))
+    near = pairs.select("claim_id", "source_id").join(c.join(v, "text").select("claim_id", F.col("v").alias("a")), "claim_id").join(w.join(v, "text").select("source_id", "window", "text", F.col("v").alias("b")), "source_id")
+    near = near.withColumn("score", F.round(F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 6))
+    best = near.groupBy("claim_id", "source_id").agg(F.max(F.struct("score", (-F.col("window")).alias("w"), "text")).alias("m")).where(F.col("m.score") >= least)
+    cut = F.when(F.length("m.text") > most, F.concat(F.substring("m.text", 1, most), F.lit("..."))).otherwise(F.col("m.text"))
+    return best.select("claim_id", "source_id", (-F.col("m.w")).alias("window"), cut.alias("passage"), F.col("m.score").alias("score"))
+
+
+def cascade(pairs: DataFrame, claims: DataFrame, sources: DataFrame, scope: list[str], embed: Callable[[list[str]], list[list[float]]] | None = hash_embedder, least: float = 0.40) -> DataFrame:
+    """``(claim_id, source_id, window, passage, score, method)``: the passage by BM25 where claim and source share words, else by meaning, else none.
+
+    ``pairs`` are the claims and sources to look at; ``embed`` None leaves out the search by meaning. Pairs without a passage are not in the result.
+    """
+    lexical = prefilter(claims, sources, scope).select("claim_id", "source_id").join(pairs.select("claim_id", "source_id"), ["claim_id", "source_id"], "left_semi")
+    words = durable(best_passages(lexical, claims, sources))
+    out = words.withColumn("method", F.lit("bm25"))
+    if embed is None:
+        return out
+    rest = pairs.select("claim_id", "source_id").join(words.select("claim_id", "source_id"), ["claim_id", "source_id"], "left_anti")
+    return out.unionByName(semantic_passages(rest, claims, sources, embed, least).where("score > 0").withColumn("method", F.lit("semantic")))
+
+
+def best_by_words(pairs: DataFrame, claims: DataFrame, sources: DataFrame, most: int = 500) -> DataFrame:
+    """``(claim_id, source_id, passage)``: the first sentence of each source with the most of the claim's keywords; used where ranking is not to be had."""
+    s = sources.select("source_id", F.posexplode(sentences(F.coalesce("content", F.lit("")))).alias("n", "text"))
+    x = pairs.select("claim_id", "source_id").join(claims.select("claim_id", keywords(F.col("claim")).alias("k")), "claim_id").join(s, "source_id")
+    hits = F.size(F.array_intersect("k", F.array_distinct(latin_terms(F.col("text"), 3))))
+    best = x.groupBy("claim_id", "source_id").agg(F.max(F.struct(hits.alias("hits"), (-F.col("n")).alias("n"), "text")).alias("m"))
+    return best.select("claim_id", "source_id", F.when(F.length("m.text") > most, F.concat(F.substring("m.text", 1, most), F.lit("..."))).otherwise(F.col("m.text")).alias("passage"))
+
+
 #: Vectors of one block; a product of two blocks is a matrix of at most BLOCK x BLOCK numbers.
 BLOCK = 4096
 

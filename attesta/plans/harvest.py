@@ -181,3 +181,38 @@ SELECT doc_id, length(text) + CASE WHEN contains(text, '## 6. Recommendations')
 ELSE length(chr(10) || chr(10) || '### Claims without support' || chr(10) || '- x') END AS chars,
 {q._strip("regexp_extract(text || chr(10) || '## 6.', '(?s)##\\s*5\\.\\s*Knowledge Gaps\\s*(.*?)\\n##\\s*6\\.', 1)")} AS gaps FROM {q._DOCS}
 """
+
+
+@query
+def h_reports(s, d):
+    part = lambda x: F.lit("\n\n" + x)
+    x = core._reports(s, d)
+    return x.select("doc_id", F.sha2(render.whole_report(F.col("text"), part("Literature"), F.lit(None).cast("string"), part("Quality"), part("Audit"), F.col("source")), 256).alias("digest"))
+
+
+SQL["h_reports"] = f"SELECT doc_id, sha256(text || chr(10) || chr(10) || 'Literature' || chr(10) || chr(10) || 'Quality' || chr(10) || chr(10) || 'Audit' || chr(10) || chr(10) || '### Sources' || chr(10) || chr(10) || coalesce(source, '')) AS digest FROM {q._DOCS}"
+
+
+@query
+def h_recommendations(s, d):
+    """A section with one proposal for each journal with an odd number, and the section that says there is none for the others."""
+    item = F.struct(F.col("journal_name").alias("title"), F.lit("HIGH").alias("novelty"), F.lit("ADVANCED").alias("difficulty"), F.lit("g").alias("gap"), F.lit("a").alias("approach"))
+    return table(s, d, "journals").select("journal_id", render.recommendations(F.lit("T"), F.lit("S"), F.filter(F.array(item), lambda _: F.col("journal_id") % 2 == 1)).alias("text"))
+
+
+_NL = "chr(10)"
+SQL["h_recommendations"] = f"""
+SELECT journal_id, CASE WHEN journal_id % 2 = 1 THEN replace('~~---~~## Research Opportunities~~> *Under-explored directions in: **T***~~S~~### 1. ', '~', {_NL}) || journal_name ||
+replace('~~**Novelty:** 🔴 HIGH &nbsp;|&nbsp; **Difficulty:** ⭐⭐⭐ ADVANCED~~**Why under-explored:** g~~**Suggested approach:** a~', '~', {_NL}) ELSE replace('~~---~~## Research Opportunities~~*No recommendations could be generated.*~', '~', {_NL}) END AS text FROM journals
+"""
+
+
+@query
+def h_cascade(s, d):
+    """The passage of each run's sources that speaks of its core claims, by words or else by meaning (offline vectors, without a model)."""
+    from attesta.operators import consensus, retrieval
+
+    claims = consensus.core_claims(core._run_evidence(s, d), table(s, d, "verdicts")).select("run_id", F.col("item_id").alias("claim_id"), "claim")
+    sources = core._run_sources(s, d).where("content <> ''")
+    pairs = claims.select("run_id", "claim_id").join(sources.select("run_id", "source_id"), "run_id")
+    return retrieval.cascade(pairs, claims, sources, ["run_id"]).select("claim_id", "source_id", "passage", "score", "method")

@@ -38,6 +38,18 @@ class Search(Protocol):
     def __call__(self, query: str, most: int) -> list[dict]: ...
 
 
+class Extractor(Protocol):
+    """Quotes and claims from a few sources (``source_id, title, content``): rows with source_id, evidence and claim."""
+
+    def __call__(self, sources: list[dict]) -> list[dict]: ...
+
+
+class RegistrySource(Protocol):
+    """How a registry answered for a DOI (VERIFIED, NOT_FOUND, RATE_LIMITED, TIMEOUT, UNAVAILABLE) and its record as JSON."""
+
+    def __call__(self, doi: str) -> tuple[str, str | None]: ...
+
+
 def rule_scorer(pairs: list[tuple[str, str]]) -> list[list[tuple[str, float]]]:
     """Share of the claim's words in the passage; the offline default, no model."""
     out = []
@@ -66,6 +78,18 @@ def no_text(prompt: str, default: str) -> str:
     return default
 
 
+def no_results(query: str, most: int) -> list[dict]:
+    return []
+
+
+def no_extraction(sources: list[dict]) -> list[dict]:
+    return []
+
+
+def no_record(doi: str) -> tuple[str, str | None]:
+    return "UNAVAILABLE", None
+
+
 def first_that_answers(searches: Iterable[Search], query: str, most: int, tries: int = 1) -> list[dict]:
     """The rows of the first search that has any, each tried ``tries`` times; failures count as no rows."""
     for search in searches:
