@@ -53,15 +53,17 @@ def encode(df: DataFrame, id_col: str, fields: Mapping[str, Callable[[Column], C
         F.col(id_col).cast("bigint").alias("rid"),
         F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(n).cast("string").alias("raw")) for i, n in enumerate(names)])).alias("cell"),
     ).select("rid", "cell.f", "cell.raw").where(F.col("raw").isNotNull() & (F.trim("raw") != ""))
-    cells = cells.withColumn("key", F.concat(F.col("f").cast("string"), F.lit(":"), F.col("raw")))
-    values = cells.groupBy("f", "raw", "key").agg(F.count("*").alias("n"))
+    # records meet the dictionary on 128 bits of a value, so a long value moves once for each distinct spelling and not once a record
+    prints = {"key": F.xxhash64("f", "raw"), "check": F.xxhash64(F.lit(1), "raw", "f")}
+    values = cells.groupBy("f", "raw").agg(F.count("*").alias("n")).withColumns(prints)
     form = F.lit(None).cast("string")
     for i, n in enumerate(names):
         form = F.when(F.col("f") == i, fields[n](F.col("raw"))).otherwise(form)
     values = values.withColumn("canon", form).where(F.col("canon") != "")
     ids = durable(values.select("f", "canon").distinct().withColumn("vid", F.monotonically_increasing_id() * len(names) + F.col("f")))
-    dictionary = durable(values.join(ids, ["f", "canon"]).select("key", "n", "vid"))
-    coded = salted_lookup(cells.select("rid", "key"), dictionary.select("key", "vid"), "key", hot_keys(dictionary, "key"), "rid")
+    dictionary = durable(values.join(ids, ["f", "canon"]).select("key", "check", "n", "vid"))
+    keyed = cells.withColumns(prints).select("rid", "key", F.col("check").alias("mine"))
+    coded = salted_lookup(keyed, dictionary.select("key", "check", "vid"), "key", hot_keys(dictionary, "key"), "rid").where("mine = check")
     return coded.groupBy("rid").agg(F.sort_array(F.collect_set("vid")).alias("code"))
 
 
