@@ -34,6 +34,8 @@ MOST_SOURCES = 10_000
 SHARD_DOCS = 50_000
 MOST_SHARDS = 20_000
 BLOCKS = 20_000
+#: At least so many blocks for each shard, so that a shard's whole number of blocks is near its part.
+SHARD_BLOCKS = 64
 
 
 def sainte_lague(weights: Sequence[float], seats: int, limits: Sequence[int] | None = None) -> list[int]:
@@ -80,22 +82,23 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7, blocks: int = BLOCK
         return spark.createDataFrame([], schema)
     shares = [want[s][0] for s in names]
     total = min(per[s]["tokens"] * want[s][1] / (want[s][0] / sum(shares)) for s in names)
-    seats = sainte_lague(shares, blocks)
     every = sum(per[s]["docs"] for s in names)
     size = max(SHARD_DOCS, -(-every // MOST_SHARDS) + 1)
     shards = {s: max(1, -(-per[s]["docs"] // size)) for s in names}
+    blocks = max(blocks, SHARD_BLOCKS * sum(shards.values()))
+    seats = sainte_lague(shares, blocks)
     of_source = F.create_map(*[F.lit(x) for s in names for x in (s, shards[s])])
     placed = mixed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.element_at(of_source, F.col("source"))).cast("int"))
-    held = placed.groupBy("source", "shard").agg(F.sum("tokens").alias("held")).collect()
+    held: dict[str, list] = {s: [] for s in names}
+    for r in placed.groupBy("source", "shard").agg(F.sum("tokens").alias("held")).orderBy("source", "shard").collect():
+        held[r["source"]].append((r["shard"], r["held"]))
     quota: list[tuple] = []
     one = total / blocks
     for s, k in zip(names, seats):
-        mine = sorted((r["shard"], r["held"]) for r in held if r["source"] == s)
-        top = sum(h for _, h in mine) * want[s][1]
-        goal = min(k * one, top)
-        fine = max(1, len(mine) * 64)
-        for (shard, h), q in zip(mine, sainte_lague([h for _, h in mine], fine)):
-            quota.append((s, shard, min(goal * q / fine, float(h * want[s][1])), float(h), want[s][1]))
+        tokens, cap = [h for _, h in held[s]], want[s][1]
+        # whole blocks for each shard; a shard that can't fill its last block gives what it has
+        for (shard, h), q in zip(held[s], sainte_lague(tokens, k, [int(-(-h * cap // one)) for h in tokens])):
+            quota.append((s, shard, min(q * one, float(h * cap)), float(h), cap))
     plan = spark.createDataFrame(quota, "source string, shard int, quota double, held double, cap int")
     w = W.partitionBy("source", "shard")
     seeded = placed.withColumn("h", F.xxhash64(F.lit(seed + 1), "doc_id"))
@@ -114,7 +117,8 @@ def report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("docs"), F.max("copies").alias("most_copies"))
     t = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"))
     j = t.join(got, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-    whole = F.sum("tokens").over(W.partitionBy(F.lit(1)))
+    j = j.crossJoin(F.broadcast(j.agg(F.sum("tokens").alias("__whole"))))  # one row
+    whole = F.col("__whole")
     return j.select(
         "source", "target_share", F.when(whole > 0, F.round(F.col("tokens") / whole, 6)).otherwise(0.0).alias("actual_share"),
         "tokens", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),

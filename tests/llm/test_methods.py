@@ -1,6 +1,6 @@
 """The step each method is named for decides: leaving it out gives other rows."""
 
-from attesta.llm import cutoffs, entities, names, survivors
+from attesta.llm import cutoffs, entities, mixing, names, survivors
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,10 @@ def test_the_mixture_uses_whether_the_rest_makes_up_for_the_titles():
     cells = entities.np.array([[0, 10, 0, 0], [1, 10, 0, 2], [1, 10, 0, 0], [-1, 10, 0, 0], [-1, 10, 0, -1]])
     assert entities.made_up_for(cells).tolist() == [True, False, True, True, False]
     assert entities._values(cells).shape == (5, 5)
+
+
+def test_shares_of_a_mix_are_reached_in_whole_blocks(spark):
+    sizes = spark.createDataFrame([(i, "abc"[i % 3] if i % 7 else "a", 20 + i % 90) for i in range(6000)], "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.2, 1)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mixing.report(mixing.mix(sizes, targets), targets).collect()}
+    assert all(abs(got[s].actual_share - want) < 0.005 for s, want in (("a", 0.5), ("b", 0.3), ("c", 0.2))) and got["b"].most_copies <= 2
