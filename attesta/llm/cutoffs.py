@@ -164,7 +164,7 @@ def verdicts(texts: DataFrame) -> DataFrame:
     """
     ends = durable(_sql(_ENDS, forms=_sql(_FORMS, texts=texts)))
     open_ends = ends.where("said = 2").select("t", "a", "b", "c")
-    grams = durable(_sql(_GRAMS, ends=ends))
+    grams = _sql(_GRAMS, ends=ends)
     levels = _sql(_LEVELS, open=open_ends, grams=grams)
     kinds = durable(_sql(_KINDS, grams=grams, open=open_ends, ends=ends))  # four rows
     judged = _sql(_JUDGED, best=_sql(_BEST.replace("{mark}", _MARK), open=open_ends, levels=levels), kinds=kinds)
