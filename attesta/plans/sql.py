@@ -591,3 +591,10 @@ SQL["z_audit_texts"] = f"""
 WITH {_AUDIT} SELECT doc_id, '## Citation Integrity Audit' || chr(10) || chr(10) || '- Eligible factual-claim candidates: ' || eligible || chr(10) || '- Candidates with at least one registered citation: ' || cited || chr(10) ||
 '- Claim-level citation coverage: ' || CASE WHEN eligible = 0 THEN 'None' ELSE printf('%.2f', round(cited / eligible * 100, 2)) END || '%' || chr(10) || '- Invalid citation marker occurrences: ' || (total_markers - valid_markers) || chr(10) || '- Total inline citation marker occurrences: ' || total_markers AS text FROM aud
 """
+_FORM = lambda x: f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+SQL["q_in_source"] = f"""
+WITH s AS (SELECT rec_id, title, content FROM academic_sources UNION ALL SELECT rec_id, title, content FROM pinned_sources),
+x AS (SELECT e.item_id, {_FORM("coalesce(e.evidence, '')")} AS e, {_FORM("coalesce(s.title, '') || ' ' || coalesce(s.content, '')")} AS f FROM evidence_items e JOIN s ON e.source_id = 'source_' || s.rec_id),
+y AS (SELECT *, CAST(ceil(length(e) * 0.7 - 1e-9) AS BIGINT) AS need FROM x)
+SELECT item_id, e <> '' AND f <> '' AND len(list_filter(range(1, greatest(length(e) - need + 1, 1) + 1), lambda i: contains(f, substr(e, i, need)))) > 0 AS found FROM y
+"""
