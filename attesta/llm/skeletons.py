@@ -34,12 +34,18 @@ LOOK_ALIKE = (
     "аa еe оo рp сc уy хx іi ѕs јj ԁd һh ԛq ԝw ѵv "
     "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ІI ЅS ЈJ ԌG ԚQ ԜW ԀD Ӏl "
     "οo νv ϲc ϳj "
-    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ"
+    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ "
+    "օo սu ոn հh ցg "
+    "ᎠD ᎡR ᎢT ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᏀG ᏃZ ᏚS ᏞL ᏟC ᏢP ᏦK ᏴB"
 ).split()
 
 
 def _table() -> dict[int, str | None]:
-    """Code point to prototype: the listed letters, and what follows from the Unicode properties of a character."""
+    """Code point to prototype: the listed letters, and what follows from the Unicode properties of a character.
+
+    Wide, narrow and mathematical forms, ligatures and Roman numerals stand for the letters they are made of; raised and
+    lowered figures, circled ones and fractions do not look like them.
+    """
     out: dict[int, str | None] = {}
     for cp in range(128, sys.maxunicode + 1):
         c = chr(cp)
@@ -51,13 +57,14 @@ def _table() -> dict[int, str | None]:
         else:
             d = unicodedata.decomposition(c)
             tag = d.split(" ", 1)[0] if d.startswith("<") else ""
-            if tag in ("<wide>", "<narrow>") or (tag == "<compat>" and 0xFB00 <= cp <= 0xFB4F):
+            if tag in ("<wide>", "<narrow>", "<font>") or (tag == "<compat>" and (0xFB00 <= cp <= 0xFB4F or 0x2160 <= cp <= 0x217F)):
                 out[cp] = unicodedata.normalize("NFKD", c)
     out |= {ord(x[0]): x[1] for x in LOOK_ALIKE}
     out[0xB5] = "μ"
     for cp in (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85):
         out[cp] = " "
-    return out
+    # a prototype has no other prototype
+    return {cp: x if x is None else unicodedata.normalize("NFD", x).translate(out) for cp, x in out.items()}
 
 
 _TABLE: dict[int, str | None] = {}

@@ -1,6 +1,6 @@
 """The step each method is named for decides: leaving it out gives other rows."""
 
-from attesta.llm import cutoffs, entities, mixing, names, survivors
+from attesta.llm import cutoffs, entities, mixing, names, skeletons, survivors
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,12 @@ def test_shares_of_a_mix_are_reached_in_whole_blocks(spark):
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.2, 1)], "source string, target_share double, max_repeats int")
     got = {r.source: r for r in mixing.report(mixing.mix(sizes, targets), targets).collect()}
     assert all(abs(got[s].actual_share - want) < 0.005 for s, want in (("a", 0.5), ("b", 0.3), ("c", 0.2))) and got["b"].most_copies <= 2
+
+
+def test_prototypes_are_closed_and_keep_what_looks_different():
+    for cp in [*range(0x370, 0x590), *range(0x13A0, 0x1400), *range(0x2100, 0x2190), *range(0x1D400, 0x1D800), *range(0xFF00, 0xFFEF)]:
+        once = skeletons.skeleton(chr(cp))
+        assert skeletons.skeleton(once) == once
+    same = lambda a, b: skeletons.skeleton(a) == skeletons.skeleton(b)
+    assert same("\U0001d400\U0001d41b", "Ab") and same("Ⅳ", "IV") and same("օո", "on") and same("Ꭺ", "A")
+    assert not same("m²", "m2") and not same("①", "1") and not same("½", "1/2") and not same("α", "a") and not same("ı", "i")
