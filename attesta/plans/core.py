@@ -300,13 +300,12 @@ def j_merged_providers(s, d):
 
 @query
 def j_valid_gaps(s, d):
-    """Proposals, one an item of evidence: long enough, without scores in the text, and with a title like no source title of their run."""
-    title = F.when(F.col("item_id") % 3 == 0, F.concat(F.coalesce("stitle", F.lit("")), F.lit(" revisited"))).otherwise(F.coalesce("claim", F.lit("")))
-    count = lambda c: F.size(F.filter(F.split(tx.one_line(F.coalesce(c, F.lit(""))), " "), lambda w: w != ""))
-    x = _run_evidence(s, d).where((count("claim") >= 8) & (count("evidence") >= 8) & ~F.contains("claim", F.lit("Novelty =")) & ~F.contains("claim", F.lit("Difficulty =")))
-    props = x.select("run_id", "item_id", F.array_sort(tx.words(title)).alias("t"))
-    like = ordered.like_any(props, _run_sources(s, d).where("title <> ''").select("run_id", tx.words(F.col("title")).alias("t")), ["run_id"], "t", 0.65)
-    return props.join(like, ["run_id", "t"], "left_anti").select("item_id")
+    """Proposals, one a titled source, that are long enough and like no source title of their run; ``h_valid_gaps`` has all conditions."""
+    x = _sources(s, d).where("title <> ''")
+    ok = F.size(F.filter(F.split(tx.strip(F.coalesce("content", F.lit(""))), r"\s+"), lambda w: w != "")) >= 8
+    props = x.where(ok).select("run_id", "rec_id", F.array_sort(tx.words(F.concat_ws(" ", F.lit("extending"), F.col("title")))).alias("t"))
+    like = ordered.like_any(props, x.select("run_id", tx.words(F.col("title")).alias("t")), ["run_id"], "t", 0.65)
+    return props.join(like, ["run_id", "t"], "left_anti").select("rec_id")
 
 
 # aggregates

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attesta.functions import text as tx
 from attesta.operators import citations, harvest, registry, scorecard
+from attesta.operators.ordered import like_any
 from attesta.plans import core, render
 from attesta.plans import sql as q
 from attesta.sources.tables import table
@@ -216,3 +218,23 @@ def h_cascade(s, d):
     sources = core._run_sources(s, d).where("content <> ''")
     pairs = claims.select("run_id", "claim_id").join(sources.select("run_id", "source_id"), "run_id")
     return retrieval.cascade(pairs, claims, sources, ["run_id"]).select("claim_id", "source_id", "passage", "score", "method")
+
+
+@query
+def h_valid_gaps(s, d):
+    """Proposals, one an item of evidence: long enough, without scores in the text, and with a title like no source title of their run."""
+    title = F.when(F.col("item_id") % 3 == 0, F.concat(F.coalesce("stitle", F.lit("")), F.lit(" revisited"))).otherwise(F.coalesce("claim", F.lit("")))
+    count = lambda c: F.size(F.filter(F.split(tx.one_line(F.coalesce(c, F.lit(""))), " "), lambda w: w != ""))
+    x = core._run_evidence(s, d).where((count("claim") >= 8) & (count("evidence") >= 8) & ~F.contains("claim", F.lit("Novelty =")) & ~F.contains("claim", F.lit("Difficulty =")))
+    props = x.select("run_id", "item_id", F.array_sort(tx.words(title)).alias("t"))
+    like = like_any(props, core._run_sources(s, d).where("title <> ''").select("run_id", tx.words(F.col("title")).alias("t")), ["run_id"], "t", 0.65)
+    return props.join(like, ["run_id", "t"], "left_anti").select("item_id")
+
+
+SQL["h_valid_gaps"] = f"""
+WITH {q._RUNS},
+p AS (SELECT run_id, item_id, {q._words("CASE WHEN item_id % 3 = 0 THEN coalesce(stitle, '') || ' revisited' ELSE coalesce(claim, '') END")} AS a FROM ev
+      WHERE {q._COUNT('claim')} >= 8 AND {q._COUNT('evidence')} >= 8 AND NOT contains(claim, 'Novelty =') AND NOT contains(claim, 'Difficulty =')),
+t AS (SELECT DISTINCT run_id, {q._words('title')} AS b FROM rsrc WHERE title <> '')
+SELECT item_id FROM p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.run_id = p.run_id AND {q._jaccard('p.a', 't.b')} > 0.65)
+"""

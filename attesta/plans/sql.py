@@ -302,11 +302,9 @@ SQL["j_batches"] = "SELECT item_id, source_key, CAST(floor((row_number() OVER (P
 SQL["j_merged_providers"] = "SELECT run_id, rec_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE source WHEN 'Semantic Scholar' THEN 0 WHEN 'OpenAlex' THEN 1 WHEN 'Crossref' THEN 2 ELSE 3 END, pos) AS place FROM academic_sources"
 _COUNT = lambda x: f"len(list_filter(regexp_split_to_array({_strip(f'coalesce({x}, {chr(39) * 2})')}, '{_SP}+'), lambda w: w <> ''))"
 SQL["j_valid_gaps"] = f"""
-WITH {_RUNS},
-p AS (SELECT run_id, item_id, {_words("CASE WHEN item_id % 3 = 0 THEN coalesce(stitle, '') || ' revisited' ELSE coalesce(claim, '') END")} AS a FROM ev
-      WHERE {_COUNT('claim')} >= 8 AND {_COUNT('evidence')} >= 8 AND NOT contains(claim, 'Novelty =') AND NOT contains(claim, 'Difficulty =')),
-t AS (SELECT DISTINCT run_id, {_words('title')} AS b FROM rsrc WHERE title <> '')
-SELECT item_id FROM p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.run_id = p.run_id AND {_jaccard('p.a', 't.b')} > 0.65)
+WITH p AS (SELECT run_id, rec_id, {_words("'extending ' || title")} AS a FROM academic_sources WHERE title <> '' AND len(list_filter(regexp_split_to_array({_strip("coalesce(content, '')")}, '\\s+'), lambda w: w <> '')) >= 8),
+t AS (SELECT DISTINCT run_id, {_words('title')} AS b FROM academic_sources WHERE title <> '')
+SELECT rec_id FROM p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.run_id = p.run_id AND {_jaccard('p.a', 't.b')} > 0.65)
 """
 
 
