@@ -74,7 +74,7 @@ FROM (SELECT xxhash64(body) AS t, any_value(body) AS body FROM {{texts}} WHERE b
 
 # What a text is closed or broken off with: 1 (broken off), 0 (closed), 2 (left to the counts), 3 (no visible character); and its last three words.
 _ENDS = f"""
-SELECT t, said, w, coalesce(get(w, size(w) - 3), '') AS a, coalesce(get(w, size(w) - 2), '') AS b, w[size(w) - 1] AS c
+SELECT t, said, array_join(w, ' ') AS w, coalesce(get(w, size(w) - 3), '') AS a, coalesce(get(w, size(w) - 2), '') AS b, w[size(w) - 1] AS c
 FROM (
   SELECT t, transform(split(regexp_replace(txt, '[0-9]+', '9'), ' '), x -> {_word("x")}) AS w,
     CASE
@@ -101,7 +101,7 @@ _GRAMS = """
 SELECT g.a, g.b, g.c, count(*) AS n
 FROM (
   SELECT explode(transform(w, (x, i) -> struct(IF(i > 1, w[i - 2], '') AS a, IF(i > 0, w[i - 1], '') AS b, x AS c))) AS g
-  FROM {ends} WHERE said < 3
+  FROM (SELECT split(w, ' ') AS w FROM {ends} WHERE said < 3)
 )
 GROUP BY g.a, g.b, g.c
 """
@@ -164,7 +164,7 @@ def verdicts(texts: DataFrame) -> DataFrame:
     """
     ends = durable(_sql(_ENDS, forms=_sql(_FORMS, texts=texts)))
     open_ends = ends.where("said = 2").select("t", "a", "b", "c")
-    grams = _sql(_GRAMS, ends=ends)
+    grams = durable(_sql(_GRAMS, ends=ends))
     levels = _sql(_LEVELS, open=open_ends, grams=grams)
     kinds = durable(_sql(_KINDS, grams=grams, open=open_ends, ends=ends))  # four rows
     judged = _sql(_JUDGED, best=_sql(_BEST.replace("{mark}", _MARK), open=open_ends, levels=levels), kinds=kinds)
