@@ -28,6 +28,31 @@ def test_a_group_of_very_many_signatures_is_searched_within_its_bound(spark):
     assert len(got) == 1 and got[0].authors_id == 4999 and got[0].venue_id is not None
 
 
+def test_a_signature_of_a_small_share_that_alone_agrees_is_chosen(spark):
+    word = lambda n: "".join("abcdefghij"[int(x)] for x in f"{n:04d}")
+    rows = [(2 * n + k, "g", "Letters in Moss", f"{word(n)} plots were measured here.", [f"Ann {word(n)}"]) for n in range(100) for k in (0, 1)]
+    # the longest text was seen with others only, and the texts of the others are shares of 1/100
+    rows += [(1000 + k, "g", "Annals of Kiln Physics", "Zeta plots were measured for a longer time.", ["A. Z."]) for k in (0, 1)] + [(2000, "g", "Letters in Moss", None, ["Bo Fox", "Cy Lee"])]
+    df = spark.createDataFrame([(*r, "2024-01-01") for r in rows], "cand_id bigint, canonical_id string, venue string, content string, authors array<string>, at string").withColumn("at", F.col("at").cast("timestamp"))
+    bundles = (survivors.venue(), survivors.content(), survivors.authors())
+    got = survivors.survivors(df, "canonical_id", "cand_id", "at", bundles).first()
+    assert (got.venue_id, got.content_id) == (2000, 199)
+
+
+def test_the_search_among_partners_finds_the_most_trust():
+    import itertools
+    import random
+    rnd = random.Random(3)
+    for _ in range(80):
+        sets = [sorted(((rnd.choice([-0.5, 1.0, 1.25, 1.5, 2.0]), f"{k}{n}", [j != k and rnd.random() < 0.7 for j in range(3)]) for n in range(rnd.randint(0, 6))), key=lambda v: -v[0]) for k in range(3)]
+        seen = [(i, a, j, b) for i, j in ((0, 1), (0, 2), (1, 2)) for _, a, _ in sets[i] for _, b, _ in sets[j] if rnd.random() < 0.4]
+        able = lambda i, x, j, y: not x[2][j] or not y[2][i] or (i, x[1], j, y[1]) in seen
+        worth = lambda c: sum(x[0] for x in c if x)
+        combos = [c for c in itertools.product(*[[None, *s] for s in sets]) if all(not c[i] or not c[j] or able(i, c[i], j, c[j]) for i, j in ((0, 1), (0, 2), (1, 2)))]
+        got = tuple(None if p is None else sets[k][p] for k, p in enumerate(survivors._search(sets, seen)))
+        assert got in combos and abs(worth(got) - max(map(worth, combos))) < 1e-9
+
+
 def test_linkage_decides_between_entities_a_spelling_can_mean(spark, monkeypatch):
     ref = spark.createDataFrame([("author", 1, "Anna B. Torvald"), ("author", 2, "Anton Torvald")], "kind string, entity_id bigint, name string")
     said = ["Anna B Torvald", "Torvald, Anna B.", "TORVALD Anna B.", "Anna B. Torvald", "Anna Torvald", "Anton Torvald", "A. Torvald"]
