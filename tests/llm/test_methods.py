@@ -63,6 +63,29 @@ def test_linkage_decides_between_entities_a_spelling_can_mean(spark, monkeypatch
     assert names.link_spellings(df, ref).count() == 0
 
 
+def test_only_surnames_with_like_letters_are_compared_edit_by_edit(monkeypatch):
+    import random
+    rnd, calls, whole = random.Random(4), [], names.distance
+    letters = "abcdeilnorst"
+    sur = ["".join(rnd.choice(letters) for _ in range(rnd.randint(3, 11))).capitalize() for _ in range(60)]
+    persons = [names.person(f"{g} {m}{s}") for s in sur for g, m in (("Anna", "B. "), ("Robert", ""), ("Kai", "van "))]
+    said = []
+    for s in sur:
+        i = rnd.randrange(len(s) - 1)
+        said += [f"A. {s[:i] + rnd.choice(letters) + s[i:]}", f"{s[:i] + s[i + 1] + s[i] + s[i + 2:]}, Bob", f"van {s[:i] + s[i + 1:]} Kai", f"{s[:1] + s[2:-1]}o, Anna"]
+
+    def plain(x, p):
+        able = [(whole(a, p.surname, 2), rest) for a, rest in names._orders(names.said(x), p.surname.count(" ") + 1)]
+        near = [(d, rest) for d, rest in able if d < 2 or (d == 2 and len(p.surname) >= 9 and any(a[:3] == p.surname[:3] and whole(a, p.surname, 2) == 2 and r == rest for a, r in names._orders(names.said(x), p.surname.count(" ") + 1)))]
+        return min((c for d, rest in near if (c := names._rest_cost(rest, p, d)) is not None), default=None)
+
+    want = [[plain(x, p) for p in persons] for x in said]
+    monkeypatch.setattr(names, "distance", lambda *a: calls.append(a) or whole(*a))
+    assert [names.person_costs(x, persons) for x in said] == want and sum(c is not None for w in want for c in w) > 100
+    compared = sum(a[1] in {p.surname for p in persons} for a in calls)
+    assert compared < 0.2 * len(said) * len(persons) / 3
+
+
 def test_transitivity_lowers_the_weaker_of_two_matches(spark):
     cell = (0, 10, 0, 0)
     rows = [(0, 1, 11, *cell, 0.99), (0, 1, 12, *cell, 0.97), (1, 11, 12, *cell, 0.02), (0, 2, 11, *cell, 0.9), (0, 2, 13, *cell, 0.8), (1, 11, 13, *cell, 0.95), (0, 3, 14, *cell, 0.96), (0, 3, 15, *cell, 0.96)]
