@@ -95,6 +95,29 @@ def test_transitivity_lowers_the_weaker_of_two_matches(spark):
     assert got[3, 14] == 0.96 and got[3, 15] == 0.0  # they never met
 
 
+def test_titles_without_a_rare_word_in_common_meet_without_persons(spark):
+    people = [f"Ann Sur{x}{y}" for x in ("kamero", "tezuvo", "lanepi", "sukaro") for y in ("berg", "sted", "mann")]
+    one = [(i, f"throughput and dropout in fleets: a study of {100 + i} plots", [people[i % 12], people[i % 7]], 1980 + i % 40, None) for i in range(120)]
+    name = lambda i: "".join("bdfgklmnprstvz"[(i * k + k) % 14] + "aeiou"[(i + k) % 5] for k in (1, 3, 5, 9)) + "x"
+    one += [(200 + i, f"the limits of {name(i)} for early dropout", [people[i % 11]], 1980 + i % 37, None) for i in range(40)]
+    two = [(1000 + i, t.upper(), who, y, d) for i, t, who, y, d in one]
+    one += [(500, "throughput and dropout in fleets: a study of 999 plots", None, 2001, None), (501, "the limits of lovuzebil for early dropout", None, 2002, None), (502, "throughput and dropout in fleets: a study of 998 plots", None, None, None)]
+    two += [(1500, one[-3][1], ["Zed Quorlander"], 2001, "10.1/zz"), (1501, "the limits of lovuezbil for early dropout", ["Bo Harwimere"], 2002, None), (1502, "throughput and dropuot in fleets: a study of 998 plots", ["Cy Harwimere"], None, None)]
+    cols = "title string, authors array<string>, year int, doi string"
+    got = {(r.rec_id, r.work_id) for r in entities.matches(spark.createDataFrame(one, "rec_id bigint, " + cols), "rec_id", spark.createDataFrame(two, "work_id bigint, " + cols), "work_id").collect()}
+    assert {(500, 1500), (501, 1501), (502, 1502)} <= got and len({(i, 1000 + i) for i in range(120)} - got) == 0
+    assert all(w == r + 1000 for r, w in got)
+
+
+def test_works_that_match_one_record_are_compared_whether_they_met_or_not(spark):
+    rows = [(1, 11, "a drift monitor for alpine soils", "a drift monitor for alpine soils"), (1, 12, "a drift monitor for alpine soils", "drift monitor for the alpine soils")]
+    p = spark.createDataFrame([(0, 1, rows[0][2], "Ann Lee", 2001, ""), (1, 11, rows[0][3], "Ann Lee", 2001, ""), (1, 12, rows[1][3], "", 2001, "")], "side int, pid bigint, title string, authors string, year int, doi string")
+    ab = spark.createDataFrame([(1, 11, 0, 10, 0, -1, 0.9), (1, 12, 0, -1, 0, -1, 0.8)], "p1 bigint, p2 bigint, u int, g int, y int, d int, q double")
+    works = entities._works_compared(p, ab, None, [])
+    assert [tuple(r) for r in works.collect()] == [(11, 12, 0, -1, 0, -1)]
+    assert entities._works_compared(p, ab, works, []).count() == 1
+
+
 def test_the_mixture_uses_whether_the_rest_makes_up_for_the_titles():
     cells = entities.np.array([[0, 10, 0, 0], [1, 10, 0, 2], [1, 10, 0, 0], [-1, 10, 0, 0], [-1, 10, 0, -1]])
     assert entities.made_up_for(cells).tolist() == [True, False, True, True, False]
