@@ -113,9 +113,18 @@ def test_works_that_match_one_record_are_compared_whether_they_met_or_not(spark)
     rows = [(1, 11, "a drift monitor for alpine soils", "a drift monitor for alpine soils"), (1, 12, "a drift monitor for alpine soils", "drift monitor for the alpine soils")]
     p = spark.createDataFrame([(0, 1, rows[0][2], "Ann Lee", 2001, ""), (1, 11, rows[0][3], "Ann Lee", 2001, ""), (1, 12, rows[1][3], "", 2001, "")], "side int, pid bigint, title string, authors string, year int, doi string")
     ab = spark.createDataFrame([(1, 11, 0, 10, 0, -1, 0.9), (1, 12, 0, -1, 0, -1, 0.8)], "p1 bigint, p2 bigint, u int, g int, y int, d int, q double")
-    works = entities._works_compared(p, ab, None, [])
+    works = entities._works_compared(p, entities._twos(ab), None, [])
     assert [tuple(r) for r in works.collect()] == [(11, 12, 0, -1, 0, -1)]
-    assert entities._works_compared(p, ab, works, []).count() == 1
+    assert entities._works_compared(p, entities._twos(ab), works, []).count() == 1
+
+
+def test_words_are_compared_edit_by_edit_once_and_only_with_like_letters(monkeypatch):
+    calls, whole = [], entities.distance
+    monkeypatch.setattr(entities, "distance", lambda *a: calls.append(a) or whole(*a))
+    assert entities.unmatched("the limits of lovuzebil for early dropout", "the limits of kesulipil for early dropout") == 2 and len(calls) == 1
+    calls.clear()
+    assert entities.authors_agree("Ann Kamerostad;Bo Tezuvoberg", "Cy Koplinusgrum;Di Tibaliwend") == 0 and not calls
+    assert entities.authors_agree("Ann Kamerostad;Bo Tezuvoberg", "A. Kamerostda;Tezuvobreg, B.") == 1 and len(calls) == 2
 
 
 def test_the_mixture_uses_whether_the_rest_makes_up_for_the_titles():
